@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracequarry.llm import byte_bpe, telephony, token_spans
+from tracequarry.llm import byte_bpe, lang_unigram, quality_llr, telephony, token_spans
 from tracequarry.plans.shared import attach
 
 #: File of the vocabulary that the tokenizing queries use, in the folder of public tokenizers.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: File of the pieces that language identification uses.
+PIECES = "piece_bpe_32k.model"
 
 
 def vocabulary() -> tuple[str, str]:
@@ -24,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(by: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % by
+
+
+def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_llr.quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.store_telephony(table(spark, sf_dir, "documents"))
 
@@ -36,9 +49,19 @@ def op6_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_spans.attribute_tokens(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    found = lang_unigram.identify(docs, docs.where(remainder(4) != 2), public_tokenizers.path(PIECES))
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_llr": op1_quality_llr,
     "op2_telephony": op2_telephony,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_token_spans": op6_token_spans,
+    "op8_language": op8_language,
 }
 SQL: dict[str, str] = {}
