@@ -1,0 +1,83 @@
+"""Spans against Python's re, ownership against brute force, and the SQL form."""
+
+import hashlib
+import random
+import re
+
+import duckdb
+import pytest
+
+from tracequarry.llm import secret_scan as S
+
+ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
+
+
+def base(text: str) -> list[tuple]:
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def rows():
+    rng = random.Random(2)
+    bits = ["password=", "Token : '", 'API_KEY="', "apikey=", "secret=token=", "passwd = ", "AKIA", "AKIAAKIA", "0123456789abcdef" * 2, "deadbeef", "é日🙂", " ", "\n", "hunter2", "A1b2C3d4E5f6", "XYZ" * 7, '"', "'", "=", "ghp_" + "a1B2" * 6]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.choice([0, 2, 5, 30]))) for _ in range(200)]
+    texts += [None, "", "token=" + "0a" * 16, "password=abc", "🙂" * 50 + "token=abcdef123456", "token = x1y2z3w4v5u6 " * 300]
+    texts += ["key token=COPIED0example1 x"] * 5 + ["only token=mine0123456789 here"] * 2
+    return [(i if i % 50 else None, t, None if i % 17 == 0 else f"src{i % 5}", "clash") for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), "doc_id long, text string, source string, spans string").repartition(3)
+
+
+def test_base_spans_and_verdicts(docs):
+    owners: dict[str, set] = {}
+    for _, t, source, _ in rows():
+        for s, kind, e in base(t or ""):
+            value = ASSIGN.match(t[s:e])[2] if kind == 0 else t[s:e]
+            owners.setdefault(value, set()).add(source)
+        for m in re.finditer(S.PATTERNS["vendor"][0], t or ""):
+            owners.setdefault(m[0], set()).add(source)
+    got = sorted((r.doc_id or -1, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans, r.n_live) for r in S.report(S.scan(docs)).collect())
+    want = []
+    for i, t, _, _ in rows():
+        spans = base(t or "")
+        every = {*spans} | {(m.start(), 3, m.end()) for m in re.finditer(S.PATTERNS["vendor"][0], t or "")}
+        live = set()
+        for s, kind, e in every:
+            value = ASSIGN.match(t[s:e])[2] if kind == 0 else t[s:e]
+            if len(value) >= 12 and re.search("[0-9]", value) and re.search("[A-Za-z]", value) and len(owners[value]) <= 2:
+                live.add((e - len(value), 4, e))
+        say = lambda x: ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in sorted(x))
+        want.append((i or -1, *(sum(k == j for _, k, _ in spans) for j in range(3)), hashlib.sha256(say(spans).encode()).hexdigest(), say(every | live), len(live)))
+    assert got == sorted(want)
+
+
+def test_sql_gives_the_same(docs):
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    rel = con.sql(S.oracle())
+    mine = S.report(S.scan(docs)).select(*rel.columns).collect()
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted((tuple(r) for r in mine), key=key) == sorted((tuple(None if x != x else int(x) if isinstance(x, float) else x for x in r) for r in rel.fetchall()), key=key)
+
+
+def test_redaction(docs):
+    live = {(r.doc_id, r.spans) for r in S.report(S.scan(docs)).collect() if r.n_live}
+    out = S.redact(docs).collect()
+    assert len(out) == len(rows()) and set(out[0].asDict()) == {"doc_id", "text", "source", "spans"}
+    before = sorted((t for i, t, *_ in rows() if t is not None))
+    assert sum("[SECRET]" in (r.text or "") for r in out) == sum(1 for r in S.report(S.scan(docs)).collect() if r.n_live)
+    assert not any("mine0123456789" in (r.text or "") for r in out) and any("COPIED0example1" in (r.text or "") for r in out)
+    assert live and sorted(r.text for r in out if r.text is not None) != before
+    assert sum(r.text is None for r in out) == 1
+
+
+def test_no_python_and_empty(docs, spark):
+    plan = S.report(S.scan(docs))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan.replace("ArrowEvalPython", "Python"))
+    assert S.report(S.scan(docs.limit(0))).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import byte_bpe, lang_unigram, quality_llr, telephony, token_spans
+from tracequarry.llm import byte_bpe, lang_unigram, quality_llr, secret_scan, telephony, token_spans
 from tracequarry.plans.shared import attach
 
 #: File of the vocabulary that the tokenizing queries use, in the folder of public tokenizers.
@@ -49,6 +49,10 @@ def op6_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_spans.attribute_tokens(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_telephony": op2_telephony,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_token_spans": op6_token_spans,
+    "op7_secret_scan": op7_secret_scan,
     "op8_language": op8_language,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_secret_scan": secret_scan.oracle(),
+}
