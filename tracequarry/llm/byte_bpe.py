@@ -12,6 +12,8 @@ Decoding streams ids through an incremental UTF-8 state machine.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -21,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Bounds on what one worker keeps: states of the machine, pieces with their ids, joint encodings.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 200_000, 400_000, 1_000_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 200_000, 1_000_000, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -249,6 +251,18 @@ class Codec:
         return "".join(map(machine.feed, self.portions(ids))) + machine.end()
 
 
+@contextlib.contextmanager
+def no_collection() -> Iterator[None]:
+    """Millions of small live objects make each run of the cycle collector slow; it waits until the batch is done."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -277,7 +291,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(vocabulary, pattern)
         for batch in batches:
-            ids = [made.encode(t) if (t := x.as_py()) else b"" for x in batch.column(width)]
+            with no_collection():
+                ids = [made.encode(t) if (t := x.as_py()) else b"" for x in batch.column(width)]
             back = [hashlib.sha256(made.decode(i).encode()).hexdigest() for i in ids]
             cols = [*batch.columns[:width], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array(back, pa.string())]
             if keep_ids:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracequarry.llm._text import slices, text_buffer
-from tracequarry.llm.byte_bpe import codec
+from tracequarry.llm.byte_bpe import codec, no_collection
 
 RULES = ("majority", "start", "end")
 
@@ -65,7 +65,8 @@ def attribute_tokens(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                 # All texts of a slice stand in one line of characters; sections end at marks and at ends of texts.
                 char_of = np.cumsum((raw & 0xC0) != 0x80) - 1
                 text_at = np.append(char_of, char_of[-1] + 1 if len(raw) else 0)[at]
-                ids = np.frombuffer(b"".join(made.encode(raw[at[k] : at[k + 1]].tobytes().decode()) for k in range(hi - lo)), "<u4")
+                with no_collection():
+                    ids = np.frombuffer(b"".join(made.encode(raw[at[k] : at[k + 1]].tobytes().decode()) for k in range(hi - lo)), "<u4")
                 ends = np.cumsum(made.length_of[ids])
                 first, last = char_of[ends - made.length_of[ids]], char_of[ends - 1] + 1
                 marks = char_of[np.flatnonzero(raw == mark)] + 1
