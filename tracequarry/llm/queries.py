@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import byte_bpe, lang_unigram, quality_llr, secret_scan, telephony, token_spans
+from tracequarry.llm import byte_bpe, cube_mix, lang_unigram, quality_llr, secret_scan, telephony, token_spans
 from tracequarry.plans.shared import attach
 
 #: File of the vocabulary that the tokenizing queries use, in the folder of public tokenizers.
@@ -45,6 +45,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op6_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_spans.attribute_tokens(table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_llr": op1_quality_llr,
     "op2_telephony": op2_telephony,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_cube_mix": op5_cube_mix,
     "op6_token_spans": op6_token_spans,
     "op7_secret_scan": op7_secret_scan,
     "op8_language": op8_language,
