@@ -110,3 +110,30 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
 
 def row_ids(n_per: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(n_per)), n_per)
+
+
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys (the first n_keys columns, without null), also across batches."""
+    held: list[pa.RecordBatch] = []
+
+    def key(batch: pa.RecordBatch, i: int) -> list:
+        return [batch.column(k)[i].as_py() for k in range(n_keys)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and key(held[-1], held[-1].num_rows - 1) != key(batch, 0):
+            yield pa.Table.from_batches(held)
+            held = []
+        change = np.zeros(batch.num_rows - 1, bool)
+        for k in range(n_keys):
+            column = batch.column(k).to_numpy(zero_copy_only=False)
+            change |= column[1:] != column[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)

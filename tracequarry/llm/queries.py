@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import byte_bpe, cube_mix, lang_unigram, quality_llr, secret_scan, telephony, token_spans
+from tracequarry.llm import byte_bpe, cube_mix, lang_unigram, ngram_join, quality_llr, secret_scan, telephony, token_spans
 from tracequarry.plans.shared import attach
 
 #: File of the vocabulary that the tokenizing queries use, in the folder of public tokenizers.
@@ -41,6 +41,10 @@ def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.store_telephony(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).drop("__same")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -68,6 +72,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_llr": op1_quality_llr,
     "op2_telephony": op2_telephony,
+    "op3_ngram_join": op3_ngram_join,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_cube_mix": op5_cube_mix,
     "op6_token_spans": op6_token_spans,
