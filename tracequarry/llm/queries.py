@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import byte_bpe, cube_mix, lang_unigram, ngram_join, quality_llr, secret_scan, telephony, token_spans
+from tracequarry.llm import byte_bpe, cube_mix, lang_unigram, license_dice, ngram_join, quality_llr, secret_scan, telephony, token_spans
 from tracequarry.plans.shared import attach
 
 #: File of the vocabulary that the tokenizing queries use, in the folder of public tokenizers.
@@ -69,6 +69,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_dice.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_llr": op1_quality_llr,
     "op2_telephony": op2_telephony,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_spans": op6_token_spans,
     "op7_secret_scan": op7_secret_scan,
     "op8_language": op8_language,
+    "op9_license_dice": op9_license_dice,
 }
 SQL: dict[str, str] = {
     "op7_secret_scan": secret_scan.oracle(),
