@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import byte_bpe, cube_mix, lang_unigram, license_dice, ngram_join, quality_llr, secret_scan, telephony, token_spans
+from tracequarry.llm import byte_bpe, cube_mix, lang_unigram, license_dice, ngram_join, quality_llr, secret_scan, telephony, token_spans, toxic_ssk
 from tracequarry.plans.shared import attach
 
 #: File of the vocabulary that the tokenizing queries use, in the folder of public tokenizers.
@@ -73,6 +73,12 @@ def op9_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_dice.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_toxic_ssk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(remainder(5) != 0)
+    found = toxic_ssk.score(table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_llr": op1_quality_llr,
     "op2_telephony": op2_telephony,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_language": op8_language,
     "op9_license_dice": op9_license_dice,
+    "op10_toxic_ssk": op10_toxic_ssk,
 }
 SQL: dict[str, str] = {
     "op7_secret_scan": secret_scan.oracle(),
