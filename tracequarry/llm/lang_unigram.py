@@ -251,18 +251,19 @@ def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, r
     return out
 
 
-def identify(docs: DataFrame, training: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, others: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, others: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """Predict the language of every whole text from its text alone.
 
     training: labelled rows with id_col, text_col and lang_col; at most sample_rows a language are read.
-    vocabulary: a sentencepiece model file, present on the driver and every executor; others: columns passed on.
-    Returns id_col, others, lang_pred (a label of training; "und" for a null text, one without a letter, or where
+    vocabulary: a sentencepiece model file, present on the driver and every executor; others: columns passed on, keep_text: the text too.
+    Returns id_col, others, text_col if kept, lang_pred (a label of training; "und" for a null text, one without a letter, or where
     nothing was learned) and score, the posterior of lang_pred under equal priors (0 for "und"). Ties go to the
     first label in order. Every row gives one row, repeated rows and null ids too. One pass without a shuffle.
     """
     languages, law = fit(vocabulary_of(vocabulary), training_words(training, id_col, text_col, lang_col, sample_rows, sample_words))
     model = docs.sparkSession.sparkContext.broadcast((languages, law))
     kinds, width = dict(docs.dtypes), 1 + len(others)
+    passed = [id_col, *others] + [text_col] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, p = model.value
@@ -284,9 +285,9 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str, id_col: str
                     best = total.argmax(axis=1)
                     posterior = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                     pred[letter], score[letter] = np.array(names, object)[best[letter]], posterior[letter]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(width)), pa.array(pred, pa.string()), pa.array(score)], names=[id_col, *others, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(passed))), pa.array(pred, pa.string()), pa.array(score)], names=[*passed, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *others)) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in passed) + ", lang_pred string, score double"
     return docs.select(id_col, *others, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
