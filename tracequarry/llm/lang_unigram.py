@@ -270,7 +270,7 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str, id_col: str
         scorer = Scorer(vocabulary_of(vocabulary), p)
         for batch in batches:
             offsets, data = text_buffer(batch.column(width))
-            for lo, hi in slices(offsets, 8 << 20):
+            for lo, hi in slices(offsets, 3 << 20):
                 at, raw = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
                 letter = np.add.reduceat(np.append(LETTERS[raw], False), at[:-1], dtype=np.int64) > 0
                 letter &= at[1:] > at[:-1]
