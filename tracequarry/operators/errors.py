@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Error type, pattern, names of its groups, suggestion.
@@ -27,6 +29,19 @@ def friendly_name(error_type: str) -> str:
     return FRIENDLY.get(error_type) or error_type.replace("_", " ").title()
 
 
+def _row(no: int, name: str, groups: tuple[str, ...], suggestion: str) -> Callable[[Column], Column]:
+    """A match with its groups as an error's struct."""
+
+    def one(z: Column) -> Column:
+        details = F.create_map(*(x for k, g in enumerate(groups, 1) for x in (F.lit(g), z[str(k)])))
+        said = F.lit(suggestion)
+        for k, g in enumerate(groups, 1):
+            said = F.replace(said, F.lit("{" + g + "}"), z[str(k)])
+        return F.struct(F.lit(no).alias("pattern_no"), F.lit(name).alias("error_type"), z["0"].alias("match_text"), details.alias("details"), said.alias("suggestion"))
+
+    return one
+
+
 def extract(logs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """One row an error: id_col, pattern_no, match_no, error_type, match_text, details map, suggestion, context.
 
@@ -38,14 +53,7 @@ def extract(logs: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
         regex = F.lit("(?im)" + pattern)
         found = [F.regexp_extract_all(F.col(text_col), regex, F.lit(k)) for k in range(len(groups) + 1)]
 
-        def one(z: Column, no=no, name=name, groups=groups, suggestion=suggestion) -> Column:
-            details = F.create_map(*(x for k, g in enumerate(groups, 1) for x in (F.lit(g), z[str(k)])))
-            text = F.lit(suggestion)
-            for k, g in enumerate(groups, 1):
-                text = F.replace(text, F.lit("{" + g + "}"), z[str(k)])
-            return F.struct(F.lit(no).alias("pattern_no"), F.lit(name).alias("error_type"), z["0"].alias("match_text"), details.alias("details"), text.alias("suggestion"))
-
-        rows = F.transform(F.arrays_zip(*found), one)
+        rows = F.transform(F.arrays_zip(*found), _row(no, name, groups, suggestion))
         kinds.append(F.transform(rows, lambda r, i: F.struct(r["pattern_no"].alias("pattern_no"), i.alias("match_no"), r["error_type"].alias("error_type"), r["match_text"].alias("match_text"), r["details"].alias("details"), r["suggestion"].alias("suggestion"))))
     at = F.instr(F.col(text_col), F.col("e.match_text"))
     before = F.split(F.substring(F.col(text_col), F.lit(1), at - 1), "\n")

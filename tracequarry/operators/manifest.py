@@ -63,7 +63,7 @@ def string_list(c: Column) -> Column:
 
 def dedupe(values: Column) -> Column:
     """Trimmed values without blanks and without repeats; case does not count."""
-    trimmed = F.filter(F.transform(values, F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")
     lower = F.transform(trimmed, F.lower)
     return F.filter(trimmed, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
 

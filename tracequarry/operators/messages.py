@@ -7,11 +7,17 @@ a new frame; they act on every conversation of the frame at once and never bring
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_TURN = Window.partitionBy("conv_id").orderBy("turn")
-WHOLE = Window.partitionBy("conv_id")
+
+
+def by_turn() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("turn")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("conv_id")
 
 
 def search(messages: DataFrame, pattern: str, case_sensitive: bool = False) -> DataFrame:
@@ -46,7 +52,7 @@ def summary(messages: DataFrame) -> DataFrame:
 def drop_consecutive(messages: DataFrame, *same: str) -> DataFrame:
     """A message equal in `same` to the one before it goes."""
     key = F.struct(*same)
-    return messages.withColumn("__before", F.lag(key).over(BY_TURN)).where(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(key)).drop("__before")
+    return messages.withColumn("__before", F.lag(key).over(by_turn())).where(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(key)).drop("__before")
 
 
 def admissible(messages: DataFrame, system_prefix: str = "System:") -> DataFrame:
@@ -80,13 +86,13 @@ def prompt_with_history(messages: DataFrame, last: int = 4, cut: int = 200) -> D
 
 def trailing_run(messages: DataFrame, role: str = "user") -> DataFrame:
     """How many messages of the role end each conversation."""
-    other = F.max(F.when(F.col("role") != role, F.col("turn"))).over(WHOLE)
+    other = F.max(F.when(F.col("role") != role, F.col("turn"))).over(whole())
     return messages.withColumn("__other", other).groupBy("conv_id").agg(F.count_if((F.col("turn") > F.col("__other")) | F.col("__other").isNull()).alias("run"))
 
 
 def limit_crossing(messages: DataFrame, tokens: Column, limit: int) -> DataFrame:
     """The first turn at which a conversation's running number of tokens is over the limit."""
-    running = F.sum(tokens).over(BY_TURN.rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum(tokens).over(by_turn().rowsBetween(Window.unboundedPreceding, 0))
     return messages.withColumn("__sum", running).where(F.col("__sum") > limit).groupBy("conv_id").agg(F.min("turn").alias("turn"), F.min("__sum").alias("tokens"))
 
 
@@ -99,7 +105,7 @@ def unroll(messages: DataFrame) -> DataFrame:
 
 def fold(messages: DataFrame, tail: int = 3, note: str = "[summary]") -> DataFrame:
     """The first message, one note for the middle, the last ones."""
-    last = F.max("turn").over(WHOLE)
+    last = F.max("turn").over(whole())
     ends = messages.withColumn("__last", last)
     kept = ends.where((F.col("turn") == 0) | (F.col("turn") > F.col("__last") - tail)).select("conv_id", "turn", "role", "content")
     middle = ends.where((F.col("turn") > 0) & (F.col("turn") <= F.col("__last") - tail)).groupBy("conv_id").agg(F.min("turn").alias("turn")).select("conv_id", "turn", F.lit("user").alias("role"), F.lit(note).alias("content"))
@@ -133,7 +139,7 @@ def call_digest(messages: DataFrame, cut: int = 400) -> DataFrame:
 
 def without_dangling_call(messages: DataFrame) -> DataFrame:
     """The last message of a conversation goes if it carries tool calls."""
-    return messages.withColumn("__last", F.max("turn").over(WHOLE)).where(~((F.col("turn") == F.col("__last")) & F.coalesce(F.size("tool_calls") > 0, F.lit(False)))).drop("__last")
+    return messages.withColumn("__last", F.max("turn").over(whole())).where(~((F.col("turn") == F.col("__last")) & F.coalesce(F.size("tool_calls") > 0, F.lit(False)))).drop("__last")
 
 
 def _pruned(gone: Column) -> Column:
@@ -143,14 +149,14 @@ def _pruned(gone: Column) -> Column:
 
 
 def renumbered(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("turn", (F.row_number().over(BY_TURN) - 1).cast("long"))
+    return messages.withColumn("turn", (F.row_number().over(by_turn()) - 1).cast("long"))
 
 
 def delete_at(messages: DataFrame, index: int) -> DataFrame:
     """Delete a message of every conversation, with the responses to its calls; for a tool row, its aggregated copies."""
     at = F.col("turn") == index
-    gone = F.max(F.when(at, F.coalesce(F.transform("tool_calls", lambda c: c["id"]), F.expr("cast(array() AS array<string>)")))).over(WHOLE)
-    own = F.max(F.when(at & (F.col("role") == "tool"), F.col("tool_call_id"))).over(WHOLE)
+    gone = F.max(F.when(at, F.coalesce(F.transform("tool_calls", lambda c: c["id"]), F.expr("cast(array() AS array<string>)")))).over(whole())
+    own = F.max(F.when(at & (F.col("role") == "tool"), F.col("tool_call_id"))).over(whole())
     marked = messages.withColumns({"__gone": gone, "__own": own})
     kept = marked.where(~at & ~((F.col("role") == "tool") & F.coalesce(F.array_contains("__gone", F.col("tool_call_id")), F.lit(False))))
     ids = F.coalesce(F.array_compact(F.concat(F.coalesce("__gone", F.expr("cast(array() AS array<string>)")), F.array("__own"))), F.expr("cast(array() AS array<string>)"))
@@ -210,7 +216,7 @@ def update_response(messages: DataFrame, answers: DataFrame) -> DataFrame:
 
 def rename_function(messages: DataFrame, index: int, name: str) -> DataFrame:
     """A message's function call gets a new name, and the responses of the old name follow."""
-    old = F.max(F.when(F.col("turn") == index, F.col("function_call.name"))).over(WHOLE)
+    old = F.max(F.when(F.col("turn") == index, F.col("function_call.name"))).over(whole())
     marked = messages.withColumn("__old", old)
     call = F.when((F.col("turn") == index) & F.col("function_call").isNotNull(), F.struct(F.lit(name).alias("name"), F.col("function_call.arguments").alias("arguments"))).otherwise(F.col("function_call"))
     named = F.when((F.col("role") == "function") & (F.col("name") == F.col("__old")), F.lit(name)).otherwise(F.col("name"))
@@ -219,7 +225,7 @@ def rename_function(messages: DataFrame, index: int, name: str) -> DataFrame:
 
 def delete_function_call(messages: DataFrame, index: int) -> DataFrame:
     """A message's function call goes, with the responses of its name."""
-    old = F.max(F.when(F.col("turn") == index, F.col("function_call.name"))).over(WHOLE)
+    old = F.max(F.when(F.col("turn") == index, F.col("function_call.name"))).over(whole())
     marked = messages.withColumn("__old", old)
     kept = marked.where(~((F.col("role") == "function") & F.coalesce(F.col("name") == F.col("__old"), F.lit(False))))
     return renumbered(kept.withColumn("function_call", F.when(F.col("turn") != index, F.col("function_call"))).drop("__old"))
@@ -234,9 +240,9 @@ def change_role(messages: DataFrame, index: int, role: str) -> DataFrame:
     at = F.col("turn") == index
     none = F.expr("cast(array() AS array<string>)")
     leaving = at & (F.col("role") == "assistant") & F.lit(role != "assistant")
-    gone = F.max(F.when(leaving, F.coalesce(F.transform("tool_calls", lambda c: c["id"]), none))).over(WHOLE)
-    old = F.max(F.when(leaving, F.col("function_call.name"))).over(WHOLE)
-    own = F.max(F.when(at & (F.col("role") == "tool") & F.lit(role != "tool"), F.col("tool_call_id"))).over(WHOLE)
+    gone = F.max(F.when(leaving, F.coalesce(F.transform("tool_calls", lambda c: c["id"]), none))).over(whole())
+    old = F.max(F.when(leaving, F.col("function_call.name"))).over(whole())
+    own = F.max(F.when(at & (F.col("role") == "tool") & F.lit(role != "tool"), F.col("tool_call_id"))).over(whole())
     marked = messages.withColumns({"__gone": gone, "__old": old, "__own": own})
     answered = (F.col("role") == "tool") & F.coalesce(F.array_contains("__gone", F.col("tool_call_id")), F.lit(False))
     replied = (F.col("role") == "function") & F.coalesce(F.col("name") == F.col("__old"), F.lit(False))

@@ -38,10 +38,14 @@ def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return each.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _times(term: str) -> Column:
+    return F.size(F.filter("w", lambda x: x == term))
+
+
 def bm25(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """Scores of documents with a query term. Terms are counted within each row, so nothing is shuffled but one row of totals a task."""
     words = F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    counted = docs.select(id_col, words.alias("w")).select(id_col, F.size("w").alias("n"), *(F.size(F.filter("w", lambda x, q=q: x == q)).alias(f"t{i}") for i, q in enumerate(query)))
+    counted = docs.select(id_col, words.alias("w")).select(id_col, F.size("w").alias("n"), *(_times(q).alias(f"t{i}") for i, q in enumerate(query)))
     totals = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(query)))).first()
     score = F.lit(0.0)
     for i in range(len(query)):
