@@ -155,3 +155,8 @@ def chunks(docs: DataFrame, size: int = 1000, overlap: int = 100, id_col: str =
     step = size - overlap
     starts = F.sequence(F.lit(0), F.greatest(F.length(text_col) - overlap - 1, F.lit(0)), F.lit(step))
     return docs.where(F.length(text_col) > 0).select(id_col, text_col, F.posexplode(starts).alias("chunk_no", "at")).select(id_col, "chunk_no", F.substring(F.col(text_col), F.col("at") + 1, F.lit(size)).alias("chunk"))
+
+
+def statistics(docs: DataFrame, group: str, wanted: Column, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """Size, files and lines of each group, and whether any of its files is a wanted one."""
+    return docs.groupBy(group).agg(F.sum(size_col).alias("bytes"), F.count(F.lit(1)).alias("files"), F.coalesce(F.bool_or(wanted), F.lit(False)).alias("has"), F.sum(F.size(F.split(text_col, "\n"))).alias("lines"))

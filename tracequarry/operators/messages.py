@@ -257,3 +257,23 @@ def change_role(messages: DataFrame, index: int, role: str) -> DataFrame:
         "role": F.when(at, F.lit(role)).otherwise(F.col("role")),
     })
     return renumbered(changed.drop("__gone", "__old", "__own"))
+
+
+def convert_function_call(messages: DataFrame, index: int) -> DataFrame:
+    """A message's function call becomes a tool call with an id made from conversation and turn; responses of its name follow, as rows and in the aggregate."""
+    at = (F.col("turn") == index) & F.col("function_call").isNotNull()
+    name = F.max(F.when(at, F.col("function_call.name"))).over(whole())
+    ident = F.max(F.when(at, F.concat(F.lit("call_"), F.substring(F.md5(F.concat_ws("/", "conv_id", "turn")), 1, 8)))).over(whole())
+    marked = messages.withColumns({"__name": name, "__id": ident})
+    reply = (F.col("role") == "function") & F.coalesce(F.col("name") == F.col("__name"), F.lit(False))
+    none = F.expr("cast(array() AS array<struct<tool_call_id:string,role:string,content:string>>)")
+    told = F.transform(F.array_sort(F.collect_list(F.when(reply, F.struct("turn", "content"))).over(whole())), lambda x: x["content"])
+    marked = marked.withColumns({"__reply": reply, "__told": told})
+    own = F.transform("__told", lambda c: F.struct(F.col("__id").alias("tool_call_id"), F.lit("tool").alias("role"), c.alias("content")))
+    call = F.struct(F.col("__id").alias("id"), F.col("function_call.name").alias("name"), F.col("function_call.arguments").alias("arguments"))
+    calls_now = F.concat(F.coalesce("tool_calls", F.expr("cast(array() AS array<struct<id:string,name:string,arguments:string>>)")), F.array(call))
+    more = F.concat(F.coalesce("tool_responses", none), own)
+    return marked.withColumns({
+        "tool_calls": F.when(at, calls_now).otherwise(F.col("tool_calls")), "tool_responses": F.when(at & (F.size("__told") > 0), more).otherwise(F.col("tool_responses")), "function_call": F.when(~at, F.col("function_call")),
+        "role": F.when(F.col("__reply"), "tool").otherwise(F.col("role")), "name": F.when(~F.col("__reply"), F.col("name")), "tool_call_id": F.when(F.col("__reply"), F.col("__id")).otherwise(F.col("tool_call_id")),
+    }).drop("__name", "__id", "__reply", "__told")
