@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -137,3 +140,23 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]
                 held = []
     if held:
         yield pa.Table.from_batches(held)
+
+
+_resident: dict[tuple, Any] = {}
+
+
+def resident(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: one object, made when another is first asked for.
+
+    Workers serve many stages; tables that one operator filled must not stay while another runs.
+    """
+    if key not in _resident:
+        if _resident:
+            _resident.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)  # give freed memory back, where the C library can
+            except (OSError, AttributeError):
+                pass
+        _resident[key] = make()
+    return _resident[key]

@@ -22,8 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tracequarry.llm._text import resident
+
 #: Bounds on what one worker keeps: states of the machine, pieces with their ids, joint encodings.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 200_000, 1_000_000, 1_000_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 100_000, 600_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,9 +37,9 @@ class State:
     __slots__ = ("items", "steps", "last")
 
     def __init__(self, items: tuple):
-        self.items = items  # (last token or -1, trie node, tokens not yet emitted), one per live position
+        self.items = items  # (last token or -1, trie node, tokens not yet emitted), one per live position; the newest is last
         self.steps: dict[int, tuple[tuple[int, ...], State]] = {}
-        self.last = next((rest for _, node, rest in items if node == 0), None)
+        self.last = items[-1][2]
 
 
 class Transducer:
@@ -59,12 +61,17 @@ class Transducer:
                     self.token_at.append(-1)
                 node = at
             self.token_at[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.inner = {i for i, below in enumerate(self.children) if below}  # nodes that some token goes on from
+        self.pairs: dict[int, bool] = {}
         self.parts: dict[int, tuple[int, int]] = {}
+        self.states: dict[tuple, State] = {}
         self.restart()
 
     def restart(self) -> None:
-        self.states: dict[tuple, State] = {}
+        """Forget all states. Steps are cut first: they point at each other, and would outlive the table."""
+        for known in self.states.values():
+            known.steps.clear()
+        self.states = {}
         self.begin = self.state(((-1, 0, ()),))
 
     def state(self, items: tuple) -> State:
@@ -103,7 +110,7 @@ class Transducer:
         The merges inside both run in order of rank; the pair fails if parts that meet at the border would be
         joined before both of them are used up. Only the parts along the border are looked at.
         """
-        key = (left, right)
+        key = (left + 1) << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MAX_PAIRS:
@@ -139,19 +146,30 @@ class Transducer:
             if ended is None:
                 token = token_at[at]
                 if token >= 0:
-                    fits = pairs.get((last, token))
+                    fits = pairs.get((last + 1) << 32 | token)
                     if fits or fits is None and self.follows(last, token):
-                        ended = (token, 0, (*rest, token))
-            if children[at]:
+                        ended = (token, 0, rest + (token,))
+            if at in self.inner:
                 items.append((last, at, rest))
         items.append(ended)
-        first, shared = items[0][2], 0
-        for shared in range(len(first) + 1):
-            if shared == len(first) or any(len(rest) <= shared or rest[shared] != first[shared] for _, _, rest in items):
+        first = items[0][2]
+        shared = len(first)
+        for _, _, rest in items:
+            same = 0
+            for x, y in zip(first[:shared], rest):
+                if x != y:
+                    break
+                same += 1
+            shared = same
+            if not shared:
                 break
         if shared:
             items = [(last, node, rest[shared:]) for last, node, rest in items]
-        done = state.steps[byte] = (first[:shared], self.state(tuple(items)))
+        key = tuple(items)
+        ahead = self.states.get(key)
+        if ahead is None:
+            ahead = self.states[key] = State(key)
+        done = state.steps[byte] = (first[:shared], ahead)
         return done
 
     def encode(self, piece: bytes) -> list[int]:
@@ -160,29 +178,35 @@ class Transducer:
             return [whole]
         if len(self.states) > MAX_STATES:
             self.restart()
-        state, out = self.begin, []
+        state, out, states = self.begin, [], self.states
         for b in piece:
             emitted, state = state.steps.get(b) or self.step(state, b)
             if emitted:
                 out += emitted
-            if len(self.states) > MAX_STATES:  # within one long piece too: what is kept stays bounded
-                self.states = {state.items: state}
-                state.steps.clear()
-                self.begin = self.state(((-1, 0, ()),))
+            if len(states) > MAX_STATES:  # within one long piece too: what is kept stays bounded
+                self.restart()
+                state, states = self.state(state.items), self.states
         return out + list(state.last)
 
 
 class Pieces(dict):
-    """Ids of each piece as little-endian 32-bit integers; made by the transducer when first asked for."""
+    """Ids of each piece as little-endian 32-bit integers; made by the transducer when first asked for.
+
+    Two generations: when the young one is full it becomes the old one, and a piece asked for again moves up, so
+    frequent pieces stay and at most MAX_PIECES are held.
+    """
 
     def __init__(self, machine: Transducer):
         super().__init__()
-        self.machine = machine
+        self.machine, self.old = machine, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.machine.encode(piece.encode()), "<u4").tobytes()
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            ids = np.array(self.machine.encode(piece.encode()), "<u4").tobytes()
         if len(piece) <= 64:
-            if len(self) >= MAX_PIECES:
+            if 2 * len(self) >= MAX_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -263,15 +287,9 @@ def no_collection() -> Iterator[None]:
             gc.enable()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One codec per worker and vocabulary."""
-    if (path, pattern) not in _codecs:
-        _codecs.clear()
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return resident(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, others: Iterable[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ texts are handled together: positions in turn, all words at once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracequarry.llm._text import Prefix, row_ids, slices, text_buffer, words
+from tracequarry.llm._text import Prefix, resident, row_ids, slices, text_buffer, words
 
 START = "▁"
 #: The fit reads at most so many labelled documents a language, those of lowest hash of their id, ...
@@ -261,16 +262,16 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str, id_col: str
     first label in order. Every row gives one row, repeated rows and null ids too. One pass without a shuffle.
     """
     languages, law = fit(vocabulary_of(vocabulary), training_words(training, id_col, text_col, lang_col, sample_rows, sample_words))
-    model = docs.sparkSession.sparkContext.broadcast((languages, law))
+    model = docs.sparkSession.sparkContext.broadcast((languages, law.astype(np.float32), uuid.uuid4().hex))
     kinds, width = dict(docs.dtypes), 1 + len(others)
     passed = [id_col, *others] + [text_col] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, p = model.value
-        scorer = Scorer(vocabulary_of(vocabulary), p)
+        names, p, fitted = model.value
+        scorer = resident(("lang", fitted), lambda: Scorer(Vocabulary(vocabulary), p.astype(float)))
         for batch in batches:
             offsets, data = text_buffer(batch.column(width))
-            for lo, hi in slices(offsets, 3 << 20):
+            for lo, hi in slices(offsets):
                 at, raw = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
                 letter = np.add.reduceat(np.append(LETTERS[raw], False), at[:-1], dtype=np.int64) > 0
                 letter &= at[1:] > at[:-1]

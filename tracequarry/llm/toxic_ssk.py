@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracequarry.llm._text import resident
 from tracequarry.plans.shared import materialise
 
 P, LAMBDA, NEAR = 4, 0.6, 0.65
@@ -182,15 +183,9 @@ def sigmoid_fit(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, shift
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer_of(machine: Machine) -> Scorer:
     """One scorer per worker and machine."""
-    if machine.name not in _scorers:
-        _scorers.clear()
-        _scorers[machine.name] = Scorer(machine)
-    return _scorers[machine.name]
+    return resident(("toxic", machine.name), lambda: Scorer(machine))
 
 
 class Scorer:
