@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -19,6 +20,9 @@ def attach(spark: SparkSession) -> SparkSession:
     On a cluster whose workers have no such folder, ship the package with --py-files.
     """
     env = spark.sparkContext.environment
+    # Texts are long: batches of the default 10,000 rows would hold tens of megabytes on both sides, for each task.
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     return spark
