@@ -30,15 +30,18 @@ from tracequarry.llm._text import resident
 from tracequarry.plans.shared import materialise
 
 P, LAMBDA, NEAR = 4, 0.6, 0.65
-LANDMARKS = 24  # of telling chunks
+LANDMARKS = 24  # stems of telling chunks
 HARD = 8  # and of the clean chunks that come nearest
 #: The fit reads at most so many labelled documents of each label, those of lowest hash of their id, ...
 SAMPLE_ROWS = 2000
 #: ... and of their chunks the most telling ones of the toxic, and of the clean those in most documents and those of lowest hash.
 TELLING, COMMON, OTHER = 400, 6000, 3000
 #: A telling chunk is in so many different toxic sample documents at least, and so many times as often as in clean ones.
-LEAST_DOCUMENTS, LEAST_RATE = 4, 5.0
+LEAST_DOCUMENTS, LEAST_RATE = 4, 8.0
+#: A stem's worth (documents times log rate) as a share of the best one's, at least.
+LEAST_WORTH = 0.1
 LONGEST = 24  # characters of a chunk that are compared at once; a longer chunk is compared window by window
+STEM = 10  # letters of the longest stem that is counted
 KNOWN_CHUNKS = 500_000
 
 _CHUNK = re.compile(r"(?<!\S)\w(?:[\s.\-*_]+\w(?!\w)){2,}|\S+")
@@ -210,43 +213,59 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(m.slope * (self.decisions(texts) - m.shift), -30, 30)))
 
 
-def spread(found: list[str], most: int, alike: float = 0.3) -> list[str]:
-    """Of strings in order of worth, those that are not like one already taken: every kind has a landmark."""
-    kernels = Machine(found).kernels(found)
-    taken: list[int] = []
-    for k in range(len(found)):
-        if len(taken) < most and (not taken or kernels[k, taken].max() < alike):
-            taken.append(k)
-    return [found[k] for k in taken]
+def spread(found: list[str], most: int) -> list[str]:
+    """Of strings in order of worth, those that neither begin nor go on another already taken: every stem has one landmark."""
+    taken: list[str] = []
+    for c in found:
+        if len(taken) < most and not any(c.startswith(t) or t.startswith(c) for t in taken):
+            taken.append(c)
+    return taken
+
+
+def holds(chunk: str, stem: str) -> bool:
+    """Whether the stem's letters are in the chunk, in order."""
+    rest = iter(chunk)
+    return all(x in rest for x in stem)
 
 
 def fit(sample: DataFrame) -> Machine | None:
-    """Train on a stored sample (text, label). What reaches the driver is bounded by the parameters."""
+    """Train on a stored sample (text, label). What reaches the driver is bounded by the parameters.
+
+    Landmarks are stems, the beginnings of chunks: inflected forms of an insult are rare one by one, their stem is not.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = sorted({c for c in tokens(t or "") if len(c) <= LONGEST})
+                own = {c for c in tokens(t or "") if len(c) <= LONGEST}
                 # The least hash of a text's chunks stands for it: near copies mostly have the same, and count once.
                 least = min((zlib.crc32(c.encode()) for c in own), default=0)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32()), pa.array([least] * len(own), pa.int64())], names=["c", "y", "m"])
+                words, stems = sorted(own), sorted({c[:k] for c in own for k in range(P, min(len(c), STEM) + 1) if c[:k].isalnum()})
+                n = len(words) + len(stems)
+                yield pa.RecordBatch.from_arrays([pa.array(words + stems, pa.string()), pa.array([False] * len(words) + [True] * len(stems)), pa.array([y] * n, pa.int32()), pa.array([least] * n, pa.int64())], names=["c", "stem", "y", "m"])
 
-    cases = sample.select("text", "label").mapInArrow(cut, "c string, y int, m long").distinct()
-    counted = materialise(cases.groupBy("c").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")), "chunks")
+    cases = sample.select("text", "label").mapInArrow(cut, "c string, stem boolean, y int, m long").distinct()
+    counted = materialise(cases.groupBy("c", "stem").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")), "chunks")
     n_bad, n_good = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first()
     if not n_bad or not n_good:
         return None
     rate = (F.col("bad") / float(n_bad)) / ((F.col("good") + 1) / float(n_good))
-    telling = counted.where((F.col("bad") >= LEAST_DOCUMENTS) & (rate > LEAST_RATE)).orderBy((F.col("bad") * F.log(rate)).desc(), "c").limit(TELLING).toPandas()
-    clean = counted.where((F.col("good") > 0) & (rate < LEAST_RATE / 2))
+    telling = counted.where((F.col("bad") >= LEAST_DOCUMENTS) & (rate > LEAST_RATE)).withColumn("worth", F.col("bad") * F.log(rate))
+    stems = telling.where("stem").orderBy(F.desc("worth"), F.length("c").desc(), "c").limit(TELLING).toPandas()
+    stems = stems["c"][stems["worth"] >= LEAST_WORTH * stems["worth"].max()].tolist() if len(stems) else []
+    words = telling.where("NOT stem").orderBy(F.desc("worth"), "c").limit(TELLING).toPandas()
+    clean = counted.where(~F.col("stem") & (F.col("good") > 0) & (rate < LEAST_RATE / 2))
     common = clean.orderBy(F.desc("good"), "c").limit(COMMON).toPandas()["c"].tolist()
     other = clean.orderBy(F.xxhash64("c"), "c").limit(OTHER).toPandas()["c"].tolist()
-    if not len(telling):
+    kinds = spread(stems, LANDMARKS)
+    # Telling chunks without a stem come from single texts and their copies.
+    words = words[[any(holds(c, k) for k in kinds) for c in words["c"]]] if len(words) else words
+    if not len(words):
         return None
-    worth, telling = telling["bad"].to_numpy(float), telling["c"].tolist()
+    worth, telling = words["bad"].to_numpy(float), words["c"].tolist()
     negative = sorted({*common, *other} - set(telling))
     y = np.array([1.0] * len(telling) + [-1.0] * len(negative))
-    kinds, heavy = spread(telling, LANDMARKS), np.ones(len(negative))
+    heavy = np.ones(len(negative))
     for _ in range(2):
         machine = Machine(kinds)
         weight = np.concatenate((worth / worth.sum(), heavy / heavy.sum())) * len(y) / 2
