@@ -242,7 +242,7 @@ def fit(sample: DataFrame) -> Machine | None:
                 least = min((zlib.crc32(c.encode()) for c in own), default=0)
                 words, stems = sorted(own), sorted({c[:k] for c in own for k in range(P, min(len(c), STEM) + 1) if c[:k].isalnum()})
                 n = len(words) + len(stems)
-                yield pa.RecordBatch.from_arrays([pa.array(words + stems, pa.string()), pa.array([False] * len(words) + [True] * len(stems)), pa.array([y] * n, pa.int32()), pa.array([least] * n, pa.int64())], names=["c", "stem", "y", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(words + stems, pa.string()), pa.array([False] * len(words) + [True] * len(stems), pa.bool_()), pa.array([y] * n, pa.int32()), pa.array([least] * n, pa.int64())], names=["c", "stem", "y", "m"])
 
     cases = sample.select("text", "label").mapInArrow(cut, "c string, stem boolean, y int, m long").distinct()
     counted = materialise(cases.groupBy("c", "stem").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")), "chunks")
