@@ -22,7 +22,7 @@ BUCKETS = 1 << 16  # of words, and as many again of pairs
 #: At most so many trusted documents make the target, those of lowest hash of their id.
 TARGET_ROWS = 20_000
 #: Mean log ratio (nats an n-gram) below which a document goes.
-THRESHOLD = -0.25
+THRESHOLD = -0.27
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 MIN_WORDS, WINDOW, MOST_REPEATED = 10, 5, 20
