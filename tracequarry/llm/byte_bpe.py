@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 
 from tracequarry.llm._text import resident
 
-#: Bounds on what one worker keeps: states of the machine, pieces with their ids, joint encodings.
+#: Bounds on what one worker keeps: states of the machine, pieces with their ids, joint encodings. About 250 MB in all;
+#: the scale of a codec makes them larger where a worker has more memory.
 MAX_STATES, MAX_PIECES, MAX_PAIRS = 100_000, 600_000, 400_000
 
 
@@ -45,8 +46,8 @@ class State:
 class Transducer:
     """Bytes in, token ids out, for one vocabulary of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], scale: float = 1.0):
+        self.ranks, self.most_states, self.most_pairs = ranks, int(MAX_STATES * scale), int(MAX_PAIRS * scale)
         self.tokens: dict[int, bytes] = {r: t for t, r in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
@@ -113,7 +114,7 @@ class Transducer:
         key = (left + 1) << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             known = self.pairs[key] = self.proper(right) and (left < 0 or self.apart(left, right))
         return known
@@ -176,14 +177,14 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.most_states:
             self.restart()
         state, out, states = self.begin, [], self.states
         for b in piece:
             emitted, state = state.steps.get(b) or self.step(state, b)
             if emitted:
                 out += emitted
-            if len(states) > MAX_STATES:  # within one long piece too: what is kept stays bounded
+            if len(states) > self.most_states:  # within one long piece too: what is kept stays bounded
                 self.restart()
                 state, states = self.state(state.items), self.states
         return out + list(state.last)
@@ -193,19 +194,19 @@ class Pieces(dict):
     """Ids of each piece as little-endian 32-bit integers; made by the transducer when first asked for.
 
     Two generations: when the young one is full it becomes the old one, and a piece asked for again moves up, so
-    frequent pieces stay and at most MAX_PIECES are held.
+    frequent pieces stay and at most `most` are held.
     """
 
-    def __init__(self, machine: Transducer):
+    def __init__(self, machine: Transducer, most: int):
         super().__init__()
-        self.machine, self.old = machine, {}
+        self.machine, self.most, self.old = machine, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.pop(piece, None)
         if ids is None:
             ids = np.array(self.machine.encode(piece.encode()), "<u4").tobytes()
         if len(piece) <= 64:
-            if 2 * len(self) >= MAX_PIECES:
+            if 2 * len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[piece] = ids
@@ -254,9 +255,9 @@ class Utf8Machine:
 class Codec:
     """Whole texts to ids and back."""
 
-    def __init__(self, path: str, pattern: str):
-        self.machine = Transducer(load_ranks(path))
-        self.pieces = Pieces(self.machine)
+    def __init__(self, path: str, pattern: str, scale: float = 1.0):
+        self.machine = Transducer(load_ranks(path), scale)
+        self.pieces = Pieces(self.machine, int(MAX_PIECES * scale))
         self.split = regex.compile(pattern).findall
         size = max(self.machine.tokens) + 1
         self.bytes_of = [self.machine.tokens.get(i, b"") for i in range(size)]
@@ -287,18 +288,18 @@ def no_collection() -> Iterator[None]:
             gc.enable()
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, scale: float = 1.0) -> Codec:
     """One codec per worker and vocabulary."""
-    return resident(("bpe", path, pattern), lambda: Codec(path, pattern))
+    return resident(("bpe", path, pattern, scale), lambda: Codec(path, pattern, scale))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, others: Iterable[str] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, others: Iterable[str] = (), scale: float = 1.0) -> DataFrame:
     """Encode every whole text and decode its ids again.
 
     vocabulary: a file of base64 tokens and ranks, present on every executor; pattern: its split pattern.
     Returns id_col, others (columns passed through), n_tokens long, ids_sha256 (hex of the ids as little-endian
     unsigned 32-bit integers), decoded_sha256 (hex of the decoded text's bytes) and, with keep_ids, ids binary
-    in that form. A null or empty text has no tokens. Each row gives one row, repeated rows and null ids too.
+    in that form. scale: of the bounds on what a worker keeps (1: about 250 MB). A null or empty text has no tokens. Each row gives one row, repeated rows and null ids too.
     One pass without a shuffle.
     """
     others = [c for c in others if c != id_col]
@@ -307,7 +308,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     width = 1 + len(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = codec(vocabulary, pattern)
+        made = codec(vocabulary, pattern, scale)
         for batch in batches:
             with no_collection():
                 ids = [made.encode(t) if (t := x.as_py()) else b"" for x in batch.column(width)]

@@ -46,7 +46,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), *vocabulary())
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), *vocabulary(), scale=2.0)
 
 
 def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_spans.attribute_tokens(table(spark, sf_dir, "documents"), *vocabulary())
+    return token_spans.attribute_tokens(table(spark, sf_dir, "documents"), *vocabulary(), scale=2.0)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

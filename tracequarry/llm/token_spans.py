@@ -40,13 +40,13 @@ def owners(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str)
     return owner, crossing
 
 
-def attribute_tokens(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", rule: str = "majority") -> DataFrame:
+def attribute_tokens(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", rule: str = "majority", scale: float = 1.0) -> DataFrame:
     """Count tokens of each section of each whole text; sections end after the separator (one ASCII character).
 
     Returns one row per section: id_col, section int (from 0), start_char, end_char (code points, end exclusive,
     the separator included), n_tokens long and n_crossing long (those of its tokens that also touch another
     section). A text that ends with the separator has an empty last section. A null or empty text has one empty
-    section. Repeated rows and null ids each give their own rows. The sections' n_tokens sum to the document's.
+    section. Repeated rows and null ids each give their own rows. The sections' n_tokens sum to the document's. scale: as of encode_documents().
     One pass without a shuffle.
     """
     if rule not in RULES:
@@ -56,7 +56,7 @@ def attribute_tokens(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
         raise ValueError("the separator must be an ASCII character")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = codec(vocabulary, pattern)
+        made = codec(vocabulary, pattern, scale)
         for batch in batches:
             offsets, data = text_buffer(batch.column(1))
             for lo, hi in slices(offsets):
