@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracequarry.llm._sample import lowest_hash
 from tracequarry.llm._text import Prefix, resident, row_ids, slices, text_buffer, words
 
 START = "▁"
@@ -237,8 +238,7 @@ def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, r
     """Word counts of a bounded sample of labelled documents."""
     spark = docs.sparkSession
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    ids = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h")).withColumn("r", rank).where(F.col("r") <= rows).select("lang", "id").distinct().toPandas()
+    ids = lowest_hash(labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")), "id", "lang", rows).toPandas()
     if not len(ids):
         return {}
     # At most `rows` ids a language: a bounded side.

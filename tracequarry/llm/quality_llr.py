@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.llm._sample import lowest_hash
 from tracequarry.llm._text import SPACE, Prefix, mix, per_text, row_ids, shingles, slices, text_buffer, words
 
 BUCKETS = 1 << 16  # of words, and as many again of pairs
@@ -89,7 +90,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     trusted: a table with id_col, of documents known to be good; of more than target_rows, those of lowest hash
     count. Raw counts cover all documents. What reaches the driver is one row a bucket and the ids of the target.
     """
-    ids = trusted.select(id_col).dropna().distinct().orderBy(F.xxhash64(id_col), id_col).limit(target_rows).toArrow().column(0).combine_chunks()
+    ids = lowest_hash(trusted.select(id_col).dropna().withColumn("one", F.lit(1)), id_col, "one", target_rows).select(id_col).toArrow().column(0).combine_chunks()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)

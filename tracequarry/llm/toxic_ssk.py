@@ -23,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.llm._sample import lowest_hash
 from tracequarry.llm._text import resident
 from tracequarry.plans.shared import materialise
 
@@ -304,8 +305,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = dict(docs.dtypes)[id_col]
     spark = docs.sparkSession
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    ids = usable.distinct().withColumn("r", rank).where(F.col("r") <= sample_rows).select("id", "label").toPandas()
+    ids = lowest_hash(usable, "id", "label", sample_rows).select("id", "label").toPandas()
     machine = None
     if len(ids):
         # At most 2 * sample_rows ids: a bounded side.
