@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.functions import paths, text as T
-from tracequarry.operators import corpus, errors, manifest, messages as M, ranking, retrieval
+from tracequarry.operators import corpus, manifest, messages as M, ranking, retrieval
 from tracequarry.plans.shared import attach
 from tracequarry.sources import files
 

@@ -7,8 +7,8 @@ import json
 from pyspark.sql import functions as F
 
 from tracequarry.functions import text as T
-from tracequarry.operators import codegraph as C, corpus, messages as M, ranking, retrieval, views as V
-from tracequarry.queries import _BEFORE, FLAT, LOG, _RENUMBER, flat, log, query, table
+from tracequarry.operators import codegraph as C, corpus, messages as M, retrieval, views as V
+from tracequarry.queries import _BEFORE, FLAT, LOG, flat, log, query, table
 from tracequarry.queries_code import _EDGES, _parts, _values
 from tracequarry.sources import files
 

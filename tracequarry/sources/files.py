@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tracequarry.functions.paths import ignored_in_repository, ignored_in_snapshot
 
 TRACE_SCHEMA = "trace_id string, repository string, commit_id string, code_location struct<filepath: string, lineno: int, function: string>, error_context map<string, string>"
-MANIFEST_SCHEMA = "problem_domain struct<error_type: string, symptom: string, failing_node: string>, codebase_context struct<primary_slice: string, filepath: string, dependencies: array<string>, architecture_pattern: string>, search_intent struct<queries: array<string>, repomaster_query: string, technical_constraints: struct<runtime: string, language: string, required_libraries: array<string>>>"
+#: {query} is the name that the files give to the canonical query.
+MANIFEST_SCHEMA = "problem_domain struct<error_type: string, symptom: string, failing_node: string>, codebase_context struct<primary_slice: string, filepath: string, dependencies: array<string>, architecture_pattern: string>, search_intent struct<queries: array<string>, {query}: string, technical_constraints: struct<runtime: string, language: string, required_libraries: array<string>>>"
 TODO_SCHEMA = "id string, content string, status string, priority string"
 
 
@@ -70,8 +71,8 @@ def traces(spark: SparkSession, path: str) -> DataFrame:
     return json_objects(spark, path, TRACE_SCHEMA)
 
 
-def manifests(spark: SparkSession, path: str) -> DataFrame:
-    return json_objects(spark, path, MANIFEST_SCHEMA)
+def manifests(spark: SparkSession, path: str, query_field: str = "canonical_query") -> DataFrame:
+    return json_objects(spark, path, MANIFEST_SCHEMA.replace("{query}", query_field))
 
 
 def todos(spark: SparkSession, path: str) -> DataFrame:
