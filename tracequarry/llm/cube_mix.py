@@ -177,7 +177,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     flying = units.where(F.col("part") > 1e-9).select(F.col("__row").alias("row"), "source_no", F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("part").alias("p"))
     decided = []
     while True:
-        per = flying.groupBy("source_no").agg(F.count(F.lit(1)).alias("n"))
+        # Stored, so its size is known: while it is small the join needs no shuffle by source, which a hot one would fill.
+        per = materialise(flying.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")), "mix_counts")
         most = per.agg(F.max("n")).first()[0] or 0
         last = most <= block
         # Blocks of equal number for every source, by hash: none larger than a few times `block` unless keys repeat, and those stream.
