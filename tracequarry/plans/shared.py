@@ -47,10 +47,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete what materialise() has written so far; results that still read it must be stored before."""
-    while _made:
-        spark, path = _made.pop()
+def made() -> list[tuple[SparkSession, str]]:
+    """What materialise() has written and release() has not deleted, oldest first."""
+    return list(_made)
+
+
+def release(some: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Delete what materialise() has written (or some of it); results that still read it must be stored before."""
+    for entry in made() if some is None else some:
+        if entry not in _made:
+            continue
+        _made.remove(entry)
+        spark, path = entry
         try:
             jvm = spark.sparkContext._jvm
             parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
