@@ -7,21 +7,39 @@ and reads it again as the next one's docs. All but the last return the columns o
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.llm import byte_bpe, cube_mix, lang_unigram, ngram_join, secret_scan
 from tracequarry.llm.queries import PIECES, remainder, vocabulary
-from tracequarry.plans.shared import attach, materialise
+from tracequarry.plans.shared import attach, made, materialise, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose language has a posterior below this goes, as does one without a letter.
 LEAST_SCORE = 0.5
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_before: list[tuple[SparkSession, str]] = []  # tables that the stage before has left in the shared folder
 
 
+def tidy(stage: Stage) -> Stage:
+    """A stage's result is stored before the next one begins, so what it wrote on the way can then go."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(_before)
+        known = made()
+        out = stage(spark, docs, sf_dir)
+        _before[:] = [x for x in made() if x not in known]
+        return out
+
+    return run_stage
+
+
+
+@tidy
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a recognised language; lang becomes the prediction. Learned from three quarters of the labels."""
     import public_tokenizers
@@ -31,17 +49,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != lang_unigram.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays: that of the least id."""
     attach(spark)
     return ngram_join.one_of_each(docs).select(*COLUMNS)
 
 
+@tidy
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Values judged live are masked; n_chars follows."""
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@tidy
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, from no time to three."""
     attach(spark)
@@ -49,6 +70,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
+@tidy
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, checked by decoding: doc_id, lang, source, n_tokens, ids (little-endian 32-bit), and digests."""
     attach(spark)
@@ -70,4 +92,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = attach(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = materialise(stage(spark, docs, sf_dir), f"stage{k}")
+    release(_before)
     return docs
