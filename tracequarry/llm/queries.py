@@ -54,7 +54,7 @@ def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_spans.attribute_tokens(table(spark, sf_dir, "documents"), *vocabulary(), scale=2.0)
+    return token_spans.attribute_tokens(table(spark, sf_dir, "documents"), *vocabulary(), scale=1.4)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
