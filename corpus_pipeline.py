@@ -74,7 +74,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, checked by decoding: doc_id, lang, source, n_tokens, ids (little-endian 32-bit), and digests."""
     attach(spark)
-    return byte_bpe.encode_documents(docs, *vocabulary(), keep_ids=True, others=("lang", "source"))
+    return byte_bpe.encode_documents(docs, *vocabulary(), keep_ids=True, others=("lang", "source"), scale=0.4)
 
 
 STAGES: list[tuple[str, Stage]] = [
