@@ -6,8 +6,9 @@ subsequences of P letters, LAMBDA to the power of the stretches that they cover
 into a word or between its letters only widen the stretch, so "id-i.ot" stays near "idiot". Normalised kernels
 with a few landmark chunks give Nystroem features, on which a linear machine is trained: its positive cases are
 the witnesses of labelled toxic sentences (chunks that toxic texts have far more often than clean ones), its
-negative ones chunks of clean sentences. A text's decision is the density of its positive chunk decisions, since
-an innocent word may come near an insult once; a sigmoid fitted on the training texts makes a score of it.
+negative ones chunks of clean sentences. A text's decision is that of its worst passage, the highest density of
+positive chunk decisions (an innocent word may come near an insult once) over overlapping windows of PASSAGE chunks,
+so a text's length takes nothing away; a sigmoid fitted on the training texts makes a score of it.
 A landmark counts for a chunk only if the two share, in order, at least P letters and NEAR of the landmark's, which
 a bit-parallel test of the longest common subsequence finds before the kernel is computed; inserted and gapped
 characters take no letter away.
@@ -42,6 +43,7 @@ LEAST_DOCUMENTS, LEAST_RATE = 4, 8.0
 #: A stem's worth (documents times log rate) as a share of the best one's, at least.
 LEAST_WORTH = 0.1
 LONGEST = 24  # characters of a chunk that are compared at once; a longer chunk is compared window by window
+PASSAGE = 200  # chunks of a passage; a passage begins every quarter of that
 STEM = 10  # letters of the longest stem that is counted
 KNOWN_CHUNKS = 500_000
 
@@ -59,6 +61,20 @@ def windows(chunk: str) -> list[str]:
     return [chunk] if len(chunk) <= LONGEST else [chunk[k : k + LONGEST] for k in range(0, len(chunk) - LONGEST // 2, LONGEST // 2)]
 
 
+def pieces(chunk: str) -> list[str]:
+    """A long chunk in pieces of two windows, so that a text without spaces has passages too; a shorter chunk is one piece."""
+    return [chunk] if len(chunk) <= LONGEST else [chunk[k : k + LONGEST + LONGEST // 2] for k in range(0, len(chunk) - LONGEST // 2, LONGEST)]
+
+
+def worst(hits: np.ndarray, lengths: np.ndarray) -> float:
+    """Log density, a thousand characters, of the passage where it is highest; of nothing for a text without a chunk."""
+    step = PASSAGE // 4
+    begin = np.arange(0, max(1, len(hits) - PASSAGE + step), step)
+    end = np.minimum(begin + PASSAGE, len(hits))
+    h, n = (np.concatenate(([0.0], np.cumsum(x))) for x in (hits, lengths))
+    return float((np.log(np.maximum(h[end] - h[begin], 0) + 0.05) - np.log((n[end] - n[begin]) / 1000 + 0.2)).max())
+
+
 def codes(found: list[str], width: int) -> np.ndarray:
     """Strings as columns: code points of letters and digits, 0 for other signs and the rest, which match nothing."""
     flat = np.frombuffer("".join([c.ljust(width, "\0") for c in found]).encode("utf-32-le"), np.uint32).astype(np.int32).reshape(len(found), width)
@@ -199,15 +215,14 @@ class Scorer:
         self.machine, self.known = machine, {}
 
     def decisions(self, texts: list[str | None]) -> np.ndarray:
-        """Log density of each text's positive chunk decisions, a thousand characters."""
-        per = [tokens(t) if t else [] for t in texts]
+        """Log density of positive chunk decisions in each text's worst passage."""
+        per = [[p for c in tokens(t) for p in pieces(c)] if t else [] for t in texts]
         new = list({c for own in per for c in own if c not in self.known})
         if len(self.known) + len(new) > KNOWN_CHUNKS:
             self.known = {}
             new = list({c for own in per for c in own})
         self.known.update(zip(new, np.clip(self.machine.decide(new), 0, 1).tolist()))
-        hits = np.array([sum(map(self.known.__getitem__, own)) for own in per], float)
-        return np.log(hits + 0.05) - np.log(np.array([len(t or "") for t in texts]) / 1000 + 0.2)
+        return np.array([worst(np.array([self.known[c] for c in own]), np.array([len(c) + 1 for c in own])) for own in per], float)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         m = self.machine
