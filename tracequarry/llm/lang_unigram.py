@@ -14,20 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.llm._sample import lowest_hash
 from tracequarry.llm._text import Prefix, resident, row_ids, slices, text_buffer, words
+from tracequarry.plans.shared import materialise
 
 START = "▁"
-#: The fit reads at most so many labelled documents a language, those of lowest hash of their id, ...
+#: The fit reads at most so many labelled documents a language, those of lowest hash of their id, and all words of theirs.
 SAMPLE_ROWS = 1500
-#: ... and of their words the most frequent.
-SAMPLE_WORDS = 10_000
 ROUNDS = 3  # of expectation and maximisation
 SMOOTHING = 0.02  # share of each language's mass that follows all languages and the uniform law
-LONGEST = 32  # bytes; longer words are scored one at a time
+LONGEST = 32  # bytes; longer words are scored one at a time, and cut for the fit
 LIFT = 3.0  # log of the factor a byte that keeps products of many small numbers in range
 KNOWN_WORDS = 400_000  # words whose scores a worker keeps
 UNKNOWN = "und"
@@ -73,16 +72,16 @@ class Vocabulary:
 
 
 class Lattice:
-    """The pieces that fit a set of words, position by position. Words: uint8 (n, longest), lengths falling."""
+    """The pieces that fit a set of words, position by position. Words: uint8 (n, longest), lengths falling; begins: whether they are whole words or go on one."""
 
-    def __init__(self, vocabulary: Vocabulary, chars: np.ndarray, lengths: np.ndarray):
-        self.vocabulary, self.lengths = vocabulary, lengths
+    def __init__(self, vocabulary: Vocabulary, chars: np.ndarray, lengths: np.ndarray, begins: bool = True):
+        self.vocabulary, self.lengths, self.begins = vocabulary, lengths, begins
         self.longest = int(lengths[0]) if len(lengths) else 0
         self.hits: list[tuple[int, int, np.ndarray, np.ndarray, bool]] = []  # start, end, words, pieces, begins the word
         for start in range(self.longest):
             alive = int(np.searchsorted(-lengths, -start, side="left"))  # words longer than start
             self.hits.append((start, start + 1, np.arange(alive), vocabulary.bytes0 + chars[:alive, start].astype(np.int64), False))
-            for which in (0, 1) if start == 0 else (1,):
+            for which in (0, 1) if start == 0 and begins else (1,):
                 steps, piece_at = vocabulary.tables[which]
                 rows, node, at = np.arange(alive), np.zeros(alive, np.int32), start
                 while len(rows) and at < self.longest:
@@ -101,7 +100,7 @@ class Lattice:
     def forward(self, p: np.ndarray) -> np.ndarray:
         """Sums over the segmentations of each prefix: (n, longest + 1, languages). p: (pieces, languages)."""
         alpha = np.zeros((len(self.lengths), self.longest + 1, p.shape[1]))
-        alpha[:, 0] = p[self.vocabulary.empty]
+        alpha[:, 0] = p[self.vocabulary.empty] if self.begins else 1.0
         for start, end, rows, pieces, first in self.hits:
             alpha[rows, end] += p[pieces] if first else alpha[rows, start] * p[pieces]
         return alpha
@@ -120,7 +119,8 @@ class Lattice:
                 beta[rows, start] += share
                 share = share * alpha[rows, start]
             uses += np.bincount(pieces, share, minlength=len(uses))
-        uses[self.vocabulary.empty] += float((beta[:, 0] * p1[self.vocabulary.empty]).sum())
+        if self.begins:
+            uses[self.vocabulary.empty] += float((beta[:, 0] * p1[self.vocabulary.empty]).sum())
         return uses
 
 
@@ -130,23 +130,69 @@ def grid(found: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in found), np.uint8).reshape(len(found), width)
 
 
-def fit(vocabulary: Vocabulary, counts: dict[str, dict[bytes, int]], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the pieces' probabilities (pieces, languages) from word counts of each."""
-    languages, uses = sorted(counts), []
+def cut(word: bytes) -> list[bytes]:
+    """A word in parts of at most LONGEST bytes, at the bounds of characters."""
+    out, at = [], 0
+    while at < len(word):
+        end = min(at + LONGEST, len(word))
+        while end < len(word) and word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return out
+
+
+def expected_uses(vocabulary: Vocabulary, parts: dict[tuple[bool, bytes], int], p: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece over the counted parts of words (does it begin a word, bytes), some thousands at a time."""
+    uses = np.zeros(vocabulary.size)
+    for begins in (True, False):
+        found = sorted((w for b, w in parts if b is begins), key=lambda w: (-len(w), w))
+        for k in range(0, len(found), 4096):
+            some = found[k : k + 4096]
+            lattice = Lattice(vocabulary, grid(some), np.array([len(w) for w in some], np.int64), begins)
+            uses += lattice.expected(p, np.array([parts[begins, w] for w in some], float))
+    return uses
+
+
+def fit(path: str, counted: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+    """Languages in order and the pieces' probabilities (pieces, languages) from stored word counts (lang, w, count).
+
+    Expectations are taken where the words are; the driver gets a number a piece and language each round.
+    """
+    vocabulary, spark = vocabulary_of(path), counted.sparkSession
+    languages = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    if not languages:
+        return [], np.zeros((vocabulary.size, 0))
     lift = np.exp(LIFT * vocabulary.length)[:, None]
-    for language in languages:
-        found = sorted((w for w in counts[language] if 0 < len(w) <= LONGEST), key=lambda w: (-len(w), w))
-        lengths, weight = np.array([len(w) for w in found], np.int64), np.array([counts[language][w] for w in found], float)
-        lattice = Lattice(vocabulary, grid(found), lengths)
-        p = np.full((vocabulary.size, 1), 1 / vocabulary.size)
-        n = np.ones(vocabulary.size)
-        for _ in range(rounds if found else 0):
-            n = lattice.expected(p * lift, weight)
-            p = ((n + 1e-3) / (n + 1e-3).sum())[:, None]
-        uses.append(n / n.sum())
-    law = np.array(uses).T if uses else np.zeros((vocabulary.size, 0))
-    pooled = law.mean(axis=1, keepdims=True) if uses else law
-    return languages, (1 - SMOOTHING) * law + SMOOTHING * (0.5 * pooled + 0.5 / vocabulary.size)
+    p = np.full((vocabulary.size, len(languages)), 1 / vocabulary.size)
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((languages, p * lift))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, uses = None, None
+            names, q = shared.value  # noqa: B023
+            for batch in batches:
+                own = own or resident(("lang-fit", path), lambda: Vocabulary(path))
+                uses = np.zeros(q.shape) if uses is None else uses
+                parts: dict[str, dict[tuple[bool, bytes], int]] = {}
+                for lang, word, times in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    here = parts.setdefault(lang, {})
+                    for k, part in enumerate(cut(word.encode())):
+                        here[k == 0, part] = here.get((k == 0, part), 0) + times
+                for lang, here in parts.items():
+                    g = names.index(lang)
+                    uses[:, g] += expected_uses(own, here, q[:, g : g + 1])
+            if uses is not None:
+                piece, g = np.nonzero(uses)
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(piece, pa.int32()), pa.array(uses[piece, g])], names=["g", "piece", "n"])
+
+        found = counted.select("lang", "w", "count").mapInArrow(run, "g int, piece int, n double").groupBy("g", "piece").agg(F.sum("n").alias("n")).toPandas()
+        n = np.zeros(p.shape)
+        n[found["piece"].to_numpy(), found["g"].to_numpy()] = found["n"].to_numpy()
+        p = (n + 1e-3) / (n + 1e-3).sum(axis=0)
+        shared.unpersist()
+    law = n / n.sum(axis=0)
+    return languages, (1 - SMOOTHING) * law + SMOOTHING * (0.5 * law.mean(axis=1, keepdims=True) + 0.5 / vocabulary.size)
 
 
 class Scorer:
@@ -234,25 +280,20 @@ def vocabulary_of(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, most: int) -> dict[str, dict[bytes, int]]:
-    """Word counts of a bounded sample of labelled documents."""
+def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
+    """lang, w and count: all words of a bounded sample of labelled documents, stored."""
     spark = docs.sparkSession
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     ids = lowest_hash(labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")), "id", "lang", rows).toPandas()
     if not len(ids):
-        return {}
+        return spark.createDataFrame([], "lang string, w string, count long")
     # At most `rows` ids a language: a bounded side.
     chosen = F.broadcast(spark.createDataFrame(ids, f"of_lang string, of_id {dict(docs.dtypes)[id_col]}"))
     text = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(chosen, (F.col("lang") == F.col("of_lang")) & F.col("id").eqNullSafe(F.col("of_id")), "left_semi")
-    counts = text.select("lang", F.explode(F.split("t", r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").groupBy("lang", "w").count()
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))).where(F.col("r") <= most).select("lang", "w", "count").toPandas()
-    out: dict[str, dict[bytes, int]] = {}
-    for lang, w, n in zip(top["lang"], top["w"], top["count"], strict=True):
-        out.setdefault(lang, {})[w.encode()] = int(n)
-    return out
+    return materialise(text.select("lang", F.explode(F.split("t", r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").groupBy("lang", "w").count(), "language_words")
 
 
-def identify(docs: DataFrame, training: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, others: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, others: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """Predict the language of every whole text from its text alone.
 
     training: labelled rows with id_col, text_col and lang_col; at most sample_rows a language are read.
@@ -261,7 +302,7 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str, id_col: str
     nothing was learned) and score, the posterior of lang_pred under equal priors (0 for "und"). Ties go to the
     first label in order. Every row gives one row, repeated rows and null ids too. One pass without a shuffle.
     """
-    languages, law = fit(vocabulary_of(vocabulary), training_words(training, id_col, text_col, lang_col, sample_rows, sample_words))
+    languages, law = fit(vocabulary, training_words(training, id_col, text_col, lang_col, sample_rows))
     model = docs.sparkSession.sparkContext.broadcast((languages, law.astype(np.float32), uuid.uuid4().hex))
     kinds, width = dict(docs.dtypes), 1 + len(others)
     passed = [id_col, *others] + [text_col] * keep_text
