@@ -33,7 +33,7 @@ def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85, cut_every:
     return ranks.select("node", "rank")
 
 
-def betweenness(edges: DataFrame, most_nodes: int = 300, most_depth: int = 50) -> DataFrame:
+def betweenness(edges: DataFrame, most_nodes: int = 300) -> DataFrame:
     """Normalised betweenness of every node, exact, by breadth-first levels from all nodes side by side.
 
     For graphs of modules; refused above most_nodes, where paths from all to all grow with the square.
@@ -45,7 +45,7 @@ def betweenness(edges: DataFrame, most_nodes: int = 300, most_depth: int = 50) -
     links = edges.select("src", "dst").distinct()
     level = nodes.select(F.col("node").alias("s"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
     seen = level
-    for depth in range(1, most_depth):
+    for depth in range(1, n + 1):  # the last level is empty: no shortest path has n edges
         ahead = level.join(links, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         level = materialise(ahead.join(seen.select("s", "node"), ["s", "node"], "left_anti").select("s", "node", F.lit(depth).alias("d"), "paths"), "bc_level")
         if level.isEmpty():
