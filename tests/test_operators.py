@@ -76,7 +76,7 @@ def test_commands(spark):
 
 def test_budgets_and_packs(spark):
     rows = spark.createDataFrame([("g", i, t) for i, t in enumerate([4, 5, 3, 9, 1])], "g string, i int, t int")
-    assert [r.i for r in corpus.budget_prefix(rows, "g", [F.col("i")], F.col("t"), 9).orderBy("i").collect()] == [0, 1, 2]
+    assert [r.i for r in corpus.budget_prefix(rows, "g", ["i"], F.col("t"), 9).orderBy("i").collect()] == [0, 1, 2]
     assert [r.pack for r in corpus.pack(rows, "g", "i", "t", 9).orderBy("i").collect()] == [0, 0, 1, 2, 3]
     assert [r.pack for r in corpus.pack(rows, "g", "i", "t", 8, after=True).orderBy("i").collect()] == [0, 0, 1, 1, 2]
 
@@ -91,7 +91,7 @@ def test_parser_rules(spark):
 
 def test_pagerank_sums_to_one(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
-    ranks = {r.node: r["rank"] for r in graph.pagerank(edges, 12).collect()}
+    ranks = {r.node: r["rank"] for r in graph.pagerank(edges).collect()}
     assert abs(sum(ranks.values()) - 1) < 1e-9 and ranks["c"] > ranks["d"]
     with pytest.raises(ValueError):
         graph.betweenness(edges, most_nodes=2)
@@ -148,3 +148,55 @@ def test_histories(spark):
     log = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "x")], "conv_id long, turn long, role string, content string")
     assert {r.conv_id: r.history for r in messages.history(log, least=1).collect()} == {1: "User: a\nAssistant: b", 2: ""}
     assert {r.conv_id: r.run for r in messages.trailing_run(log).collect()} == {1: 0, 2: 1}
+
+
+def test_spans_of_any_length(spark):
+    spans = spark.createDataFrame([(1, 0, 5000), (1, 10, 20), (2, 7, None), (3, 640, 649), (4, 5, 4)], "doc_id long, first_line int, last_line int")
+    asked = [(1, 0), (1, 15), (1, 4000), (1, 5000), (1, 5001), (2, 6), (2, 3000), (2, 900_000), (3, 639), (3, 640), (3, 649), (3, 650), (4, 5)]
+    got = {(r.doc_id, r.line_no): r.first_line for r in corpus.span_at(spans, spark.createDataFrame(asked, "doc_id long, line_no int")).collect()}
+    assert got == {(1, 0): 0, (1, 15): 0, (1, 4000): 0, (1, 5000): 0, (2, 3000): 7, (2, 900_000): 7, (3, 640): 640, (3, 649): 640}
+
+
+def test_anchored_patterns_find_the_same(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    bits = ["pkg", " requires ", "requires ", "a>=1", ", but b is installed", " is installed", ", which is not installed", " 1.0 is incompatible with ", " is incompatible with ", "q 2.0", " ", "\n", "1.0", ",", "x y ", "p requires a 2, but ", "p requires q"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.choice([3, 8, 20]))) for _ in range(400)]
+    names = ("version_conflict", "dependency_error", "incompatible_version")
+    fixed = {name: re.compile("(?im)" + pattern) for name, pattern, *_ in errors.PATTERNS if name in names}
+    got = errors.extract(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).collect()
+    for name, pattern in fixed.items():
+        want = sorted((i, n, m[0], m.groups()) for i, t in enumerate(texts) for n, m in enumerate(pattern.finditer(t)))
+        assert sorted((r.id, r.match_no, r.match_text, tuple(r.details.values())) for r in got if r.error_type == name) == want and want
+
+
+def test_long_line_is_quick(spark):
+    import time
+
+    began = time.time()
+    text = "word " * 200_000 + "a" * 500_000 + " requires b, which is not installed"
+    assert [r.error_type for r in errors.extract(spark.createDataFrame([(1, text)], "id int, text string")).collect()] == ["dependency_error"]
+    assert time.time() - began < 30
+
+
+def test_running_sums_of_one_large_group(spark):
+    rows = spark.range(5000).select(F.lit("g").alias("g"), F.col("id").alias("i"), (F.col("id") % 7).alias("t"))
+    got = corpus.running_before(rows, "g", ["i"], F.col("t")).orderBy("i").collect()
+    total = 0
+    for r in got:
+        assert r.before == total
+        total += r.t
+
+
+def test_queries_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i)]) for i in range(60)], "vec_id long, embedding array<double>")
+    one, many = (sorted(map(tuple, retrieval.vector_top_of(v, v.where("vec_id % 2 = 0"), 2, block=b).collect())) for b in (1000, 7))
+    assert one == many and len(one) == 60
+
+
+def test_directed_jumps(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
+    ranks = {r.node: r["rank"] for r in graph.pagerank(edges, personal=spark.createDataFrame([("d", 1.0)], "node string, weight double")).collect()}
+    assert abs(sum(ranks.values()) - 1) < 1e-6 and abs(ranks["d"] - 0.15) < 1e-6

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions.text import candidate_tokens
 from tracequarry.operators.manifest import STOP_TOKENS
+from tracequarry.plans.shared import materialise
+
+#: A span without an end goes on to this line.
+LAST_LINE = (1 << 30) - 1
 
 
 def paths_with(files: DataFrame, keyword: str, path: str = "path") -> DataFrame:
@@ -53,24 +57,40 @@ def token_frequency(docs: DataFrame, limit: int = 24, text_col: str = "text") ->
 
 
 def dedupe_first(rows: DataFrame, key: Column, order: Column) -> DataFrame:
-    """Of rows with an equal key, the first in order; blank keys go. No window: a frequent key is no hot task."""
-    keyed = rows.withColumns({"__key": F.lower(F.trim(key)), "__order": order}).where(F.col("__key") != "")
+    """Of rows with an equal key, the first in order; blank keys go. No window: a frequent key is no hot task, and of long keys only digests move."""
+    keyed = rows.withColumns({"__key": F.sha2(F.lower(F.trim(key)), 256), "__order": order}).where(F.trim(key) != "")
     names = rows.columns
     return keyed.groupBy("__key").agg(F.min_by(F.struct(*names), "__order").alias("r")).select("r.*")
 
 
-def budget_prefix(rows: DataFrame, group: str, order: list[Column], tokens: Column, budget: int) -> DataFrame:
+def running_before(rows: DataFrame, group: str, order: list[str], value: Column, name: str = "before") -> DataFrame:
+    """rows with the sum of value over the rows of the same group that come before, in order.
+
+    Rows are dealt by ranges of (group, order) and stored, so one large group lies in many ranges: a range's sum is
+    added up first, and the window inside it sees only its own rows. order must tell rows apart for a fixed result.
+    """
+    dealt = materialise(rows.withColumn("__value", value).repartitionByRange(group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(group, "__range").agg(F.sum("__value").alias("__sum"))
+    # A row a range and group: a group has at most as many as there are ranges.
+    offset = F.coalesce(F.sum("__sum").over(Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(F.col(group).alias("__group"), F.col("__range").alias("__of"), offset.alias("__offset"))
+    inside = F.coalesce(F.sum("__value").over(Window.partitionBy("__range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = dealt.join(offsets, (F.col("__range") == F.col("__of")) & F.col(group).eqNullSafe(F.col("__group")))
+    return joined.withColumn(name, F.col("__offset") + inside).drop("__value", "__range", "__of", "__group", "__sum", "__offset")
+
+
+def budget_prefix(rows: DataFrame, group: str, order: list[str], tokens: Column, budget: int) -> DataFrame:
     """Rows of each group until the running number of tokens is over the budget; the test is before the row."""
-    by = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("before", F.coalesce(F.sum(tokens).over(by), F.lit(0))).where(F.col("before") <= budget)
+    return running_before(rows, group, order, tokens).where(F.col("before") <= budget)
 
 
-def budget_files(rows: DataFrame, group: str, order: list[Column], tokens: Column, first: Column, budget: int) -> DataFrame:
-    """Rows flagged `first`, then others up to the first that is over the budget by itself."""
-    ordered = Window.partitionBy(group).orderBy((~first).cast("int"), *order)
-    marked = rows.withColumns({"pos": F.row_number().over(ordered), "__over": tokens > budget})
-    stop = F.min(F.when(F.col("__over"), F.col("pos"))).over(Window.partitionBy(group))
-    return marked.withColumn("__stop", stop).where(F.col("__stop").isNull() | (F.col("pos") < F.col("__stop"))).drop("__over", "__stop")
+def budget_files(rows: DataFrame, group: str, order: list[str], tokens: Column, first: Column, budget: int) -> DataFrame:
+    """Rows flagged `first`, then others up to the first that is over the budget by itself; pos counts them from 1."""
+    marked = rows.withColumns({"__late": (~first).cast("int"), "__over": tokens > budget})
+    place = F.struct("__late", *order)
+    stops = marked.where("__over").groupBy(F.col(group).alias("__group")).agg(F.min(place).alias("__stop"))
+    kept = marked.join(stops, F.col(group).eqNullSafe(F.col("__group")), "left").where(F.col("__stop").isNull() | (place < F.col("__stop"))).drop("__over", "__stop", "__group")
+    return running_before(kept, group, ["__late", *order], F.lit(1), "pos").withColumn("pos", (F.col("pos") + 1).cast("int")).drop("__late")
 
 
 def pack(rows: DataFrame, group: str, order: str, size: str, budget: int, after: bool = False) -> DataFrame:
@@ -122,11 +142,21 @@ def spans_of(docs: DataFrame, opens: str, id_col: str = "doc_id", text_col: str
     return begun.select(id_col, F.col("line_no").alias("first_line"), (following - 1).alias("last_line"))
 
 
-def span_at(spans: DataFrame, wanted: DataFrame, id_col: str = "doc_id", bucket: int = 64) -> DataFrame:
-    """wanted (id_col, line_no) with the first span that holds the line. An equi-join on buckets of lines, then the range test."""
-    ends = F.coalesce(F.col("last_line"), F.col("first_line") + 100_000)
-    dealt = spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("first_line") / bucket), F.floor(F.least(ends, F.col("first_line") + 10 * bucket) / bucket)))) if bucket else spans
-    hits = wanted.withColumn("b", F.floor(F.col("line_no") / bucket)).join(dealt, [id_col, "b"]).where((F.col("line_no") >= F.col("first_line")) & (F.col("line_no") <= ends))
+def span_at(spans: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """wanted (id_col, line_no) with the first span that holds the line, however long or open the span.
+
+    A span is cut in aligned intervals of 1, 2, 4 ... lines (at most two of each length), and a line lies in one
+    interval of each length: an equi-join that needs no range test and no bound on a span's length.
+    """
+    levels = F.sequence(F.lit(0), F.lit(30))
+    end = F.least(F.coalesce(F.col("last_line"), F.lit(LAST_LINE)), F.lit(LAST_LINE)).cast("long") + 1
+    sized = spans.select(id_col, "first_line", F.col("first_line").cast("long").alias("a"), end.alias("z")).where("a < z").withColumn("level", F.explode(levels))
+    # From the level's first whole interval up to, not including, the last: an odd one at either side has no parent within the span.
+    cut = sized.select(id_col, "first_line", "level", F.expr("shiftright(a + shiftleft(1L, level) - 1, level)").alias("l"), F.expr("shiftright(z, level)").alias("r")).where("l < r")
+    side = F.array_compact(F.array(F.when(F.col("l") % 2 == 1, F.col("l")), F.when(F.col("r") % 2 == 1, F.col("r") - 1)))
+    intervals = cut.select(id_col, "first_line", "level", F.explode(side).alias("interval"))
+    asked = wanted.where(F.col("line_no").between(0, LAST_LINE)).select(id_col, "line_no").distinct().withColumn("level", F.explode(levels))
+    hits = asked.withColumn("interval", F.expr("shiftright(cast(line_no AS long), level)")).join(intervals, [id_col, "level", "interval"])
     return hits.groupBy(id_col, "line_no").agg(F.min("first_line").alias("first_line"))
 
 

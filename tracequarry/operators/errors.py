@@ -21,23 +21,49 @@ PATTERNS: tuple[tuple[str, str, tuple[str, ...], str], ...] = (
     ("pkg_resources_error", r"(?:pkg_resources\.DistributionNotFound): The '([^']+)(?:[^']*?)' distribution was not found", ("package_name",), "Distribution package {package_name} not found. Try: pip install {package_name}"),
     ("incompatible_version", r"(?:.*?)([^\s]+) ([^\s]+) is incompatible with ([^\s]+) ([^\s]+)", ("package1", "version1", "package2", "version2"), "Package version conflict: {package1} {version1} is incompatible with {package2} {version2}. Create virtual environment or adjust dependency versions."),
 )
+# The lines before the commands, and the labels of the error types.
 PREAMBLE = ("# Recommend installing dependencies in virtual environment to avoid version conflicts", "python -m venv venv", "# Windows: venv\\Scripts\\activate", "# Linux/Mac: source venv/bin/activate")
-FRIENDLY = {"pkg_resources_error": "Resource Distribution Error", "import_error_in_package": "Package Import Error", "dll_load_error": "DLL Load Error", "syntax_error_in_package": "Syntax Error in Package"}
+FRIENDLY = {
+    "missing_package": "Missing Package",
+    "import_name_error": "Import Name Error",
+    "attribute_error": "Attribute Error",
+    "version_conflict": "Version Conflict",
+    "syntax_error_in_package": "Syntax Error in Package",
+    "import_error_in_package": "Package Import Error",
+    "dependency_error": "Dependency Error",
+    "dll_load_error": "DLL Load Error",
+    "permission_error": "Permission Error",
+    "pkg_resources_error": "Resource Distribution Error",
+    "incompatible_version": "Incompatible Version",
+}
+#: Errors whose package goes to the list of packages to install.
+INSTALLED_FOR = ("missing_package", "version_conflict", "dependency_error", "pkg_resources_error", "syntax_error_in_package")
+#: Of the patterns that begin with anything, the form that is tried only at a line's beginning or at the last match's
+#: end, and at the beginnings of words: it finds the same matches with the same groups, without a walk over the rest
+#: of the line from each of its characters.
+ANCHORED = {
+    "version_conflict": r"(?:^|\G).*?requires ([^\s]+) ([^,]+), but ([^\s]+) is installed",
+    "dependency_error": r"(?:^|\G)(?:|.*?(?<!\S))([^\s]++) requires ([^\s]+), which is not installed",
+    "incompatible_version": r"(?:^|\G)(?:|.*?(?<!\S))([^\s]++) ([^\s]++) is incompatible with ([^\s]+) ([^\s]+)",
+}
+#: What a text must hold, in lower case, to have any match.
+MARKS = ("error", " requires ", "requires ", "distributionnotfound", " is incompatible with ")
 
 
 def friendly_name(error_type: str) -> str:
-    return FRIENDLY.get(error_type) or error_type.replace("_", " ").title()
+    return FRIENDLY.get(error_type, error_type)
 
 
-def _row(no: int, name: str, groups: tuple[str, ...], suggestion: str) -> Callable[[Column], Column]:
-    """A match with its groups as an error's struct."""
+def _row(no: int, name: str, regex: str, groups: tuple[str, ...], suggestion: str) -> Callable[[Column], Column]:
+    """A match as an error's struct; its groups are read from it."""
 
-    def one(z: Column) -> Column:
-        details = F.create_map(*(x for k, g in enumerate(groups, 1) for x in (F.lit(g), z[str(k)])))
+    def one(m: Column, i: Column) -> Column:
+        values = [F.regexp_extract(m, regex, k) for k in range(1, len(groups) + 1)]
+        details = F.create_map(*(x for g, v in zip(groups, values, strict=True) for x in (F.lit(g), v)))
         said = F.lit(suggestion)
-        for k, g in enumerate(groups, 1):
-            said = F.replace(said, F.lit("{" + g + "}"), z[str(k)])
-        return F.struct(F.lit(no).alias("pattern_no"), F.lit(name).alias("error_type"), z["0"].alias("match_text"), details.alias("details"), said.alias("suggestion"))
+        for g, v in zip(groups, values, strict=True):
+            said = F.replace(said, F.lit("{" + g + "}"), v)
+        return F.struct(F.lit(no).alias("pattern_no"), i.alias("match_no"), F.lit(name).alias("error_type"), m.alias("match_text"), details.alias("details"), said.alias("suggestion"))
 
     return one
 
@@ -46,15 +72,15 @@ def extract(logs: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
     """One row an error: id_col, pattern_no, match_no, error_type, match_text, details map, suggestion, context.
 
     Patterns in order, matches in order of the text. context has up to three lines before and after the first
-    occurrence of the match. One scan; the patterns are columns of it, so the log is read once.
+    occurrence of the match. A pattern passes over a text once, and its groups are read from the matches; texts
+    without any of the words that all patterns need are left out before.
     """
     kinds = []
     for no, (name, pattern, groups, suggestion) in enumerate(PATTERNS):
-        regex = F.lit("(?im)" + pattern)
-        found = [F.regexp_extract_all(F.col(text_col), regex, F.lit(k)) for k in range(len(groups) + 1)]
-
-        rows = F.transform(F.arrays_zip(*found), _row(no, name, groups, suggestion))
-        kinds.append(F.transform(rows, lambda r, i: F.struct(r["pattern_no"].alias("pattern_no"), i.alias("match_no"), r["error_type"].alias("error_type"), r["match_text"].alias("match_text"), r["details"].alias("details"), r["suggestion"].alias("suggestion"))))
+        regex = "(?im)" + ANCHORED.get(name, pattern)
+        found = F.regexp_extract_all(F.col(text_col), F.lit(regex), F.lit(0))
+        kinds.append(F.transform(found, _row(no, name, regex, groups, suggestion)))
+    logs = logs.where(F.lower(text_col).rlike("|".join(MARKS)))
     at = F.instr(F.col(text_col), F.col("e.match_text"))
     before = F.split(F.substring(F.col(text_col), F.lit(1), at - 1), "\n")
     after = F.split(F.substring(F.col(text_col), at + F.length("e.match_text"), F.length(text_col)), "\n")
@@ -97,6 +123,22 @@ def fix_commands(errors: DataFrame, id_col: str = "id") -> DataFrame:
     return listed.select(id_col, F.concat(F.array(*map(F.lit, PREAMBLE)), F.transform("fs", lambda f: f["command"])).alias("commands"))
 
 
+def install_packages(errors: DataFrame, id_col: str = "id") -> DataFrame:
+    """The packages that each log's errors name for installing, in order of the errors, repeats kept."""
+    named = errors.where(F.col("error_type").isin(*INSTALLED_FOR)).select(id_col, F.struct("pattern_no", "match_no", F.element_at("details", F.lit("package_name")).alias("package")).alias("p")).where("p.package IS NOT NULL")
+    return named.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["package"]).alias("packages"))
+
+
+def report(errors: DataFrame, id_col: str = "id") -> DataFrame:
+    """One row a log with errors: their number, each kind with its number, and the commands and packages that they lead to."""
+    kinds = errors.groupBy(id_col, "error_type").agg(F.count(F.lit(1)).alias("n"))
+    label = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in FRIENDLY.items() for x in kv)), F.col("error_type")), F.col("error_type"))
+    listed = kinds.groupBy(id_col).agg(F.sum("n").alias("n_errors"), F.array_sort(F.collect_list(F.concat(label, F.lit(": "), F.col("n").cast("string")))).alias("kinds"))
+    empty = F.expr("cast(array() AS array<string>)")
+    both = listed.join(fix_commands(errors, id_col), id_col, "left").join(install_packages(errors, id_col), id_col, "left")
+    return both.withColumns({"commands": F.coalesce("commands", empty), "packages": F.coalesce("packages", empty)})
+
+
 def installable(packages: DataFrame, builtin: DataFrame, index: DataFrame) -> DataFrame:
     """Packages (package) that are neither relative nor built in, and are in the index."""
     return packages.where(~F.col("package").startswith(".")).join(builtin, "package", "left_anti").join(index, "package", "left_semi")

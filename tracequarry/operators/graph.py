@@ -14,22 +14,32 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.node").agg(F.sum("e.i").alias("n_in"), F.sum("e.o").alias("n_out"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85, cut_every: int = 5) -> DataFrame:
-    """node and rank after a fixed number of rounds; the mass of nodes without out-edges is spread evenly.
+def pagerank(edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tolerance: float | None = 1e-6, personal: DataFrame | None = None) -> DataFrame:
+    """node and rank; the mass of nodes without out-edges is spread like the jumps.
 
-    A round is one join and one aggregation on the node; lineage is cut to the shared folder every few rounds.
+    Ends when the ranks move by less than tolerance a node, summed over all nodes, or after `rounds`. personal (node,
+    weight) directs the jumps; without it, or where no weight is above 0, they are even. A round is one join and one
+    aggregation on the node; each is stored in the shared folder once, so none is computed again for the next, and
+    two numbers of it come to the driver.
     """
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     links = materialise(edges.join(out, "src").select("src", "dst", (1.0 / F.col("n")).alias("share")), "links")
-    nodes = materialise(degrees(edges).select("node", (F.col("n_out") == 0).alias("dangling")), "nodes")
-    n = nodes.count()
-    ranks = nodes.select("node", "dangling", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for k in range(rounds):
-        moved = ranks.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+    nodes = degrees(edges).select("node", (F.col("n_out") == 0).alias("dangling"))
+    if personal is not None:
+        nodes = nodes.join(personal.select("node", F.greatest("weight", F.lit(0.0)).cast("double").alias("weight")), "node", "left").fillna(0.0, ["weight"])
+    else:
+        nodes = nodes.withColumn("weight", F.lit(1.0))
+    nodes = materialise(nodes, "nodes")
+    n, total = nodes.agg(F.count(F.lit(1)), F.sum("weight")).first()
+    nodes = nodes.withColumn("jump", F.col("weight") / total if total else F.lit(1.0 / max(n, 1))).drop("weight")
+    ranks = materialise(nodes.withColumns({"rank": F.lit(1.0 / max(n, 1)), "moved": F.lit(0.0)}), "ranks")
+    for _ in range(rounds):
         lost = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
-        ranks = nodes.join(moved, F.col("node") == F.col("to"), "left").select("node", "dangling", (F.lit((1 - alpha + alpha * lost) / max(n, 1)) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if (k + 1) % cut_every == 0:
-            ranks = materialise(ranks, "ranks")
+        got = ranks.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        rank = F.lit(1 - alpha + alpha * lost) * F.col("jump") + alpha * F.coalesce("got", F.lit(0.0))
+        ranks = materialise(ranks.join(got, F.col("node") == F.col("to"), "left").select("node", "dangling", "jump", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved")), "ranks")
+        if tolerance is not None and (ranks.agg(F.sum("moved")).first()[0] or 0.0) < n * tolerance:
+            break
     return ranks.select("node", "rank")
 
 

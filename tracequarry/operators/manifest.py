@@ -15,7 +15,7 @@ LANGUAGES = {"python": "python", "py": "python", "python3": "python", "javascrip
 DEFAULT_RUNTIMES = {"python": "python-3.x", "javascript": "node-18+", "typescript": "node-18+", "java": "java-17+", "go": "go-1.22+", "csharp": "dotnet-8"}
 ERROR_TYPES = {"timeoutwarning": "TimeoutWarning", "timeoutexceeded": "TimeoutWarning", "timeouterror": "TimeoutError", "timeout": "TimeoutWarning", "keyerror": "KeyError", "valueerror": "ValueError", "indexerror": "IndexError", "attributeerror": "AttributeError", "typeerror": "TypeError", "connectionerror": "ConnectionError", "http502": "BadGatewayError", "badgateway": "BadGatewayError", "gatewayerror": "BadGatewayError", "ratelimit": "RateLimitError", "toomanyrequests": "RateLimitError"}
 ARCHITECTURES = {"stategraphwithtoolcalling": "State Graph with Tool Calling", "stategraphwithtools": "State Graph with Tool Calling", "langgraphstategraphwithtoolcalling": "State Graph with Tool Calling", "reactagent": "ReAct Agent", "multiagent": "Multi-Agent Orchestration", "multiagentorchestration": "Multi-Agent Orchestration", "retrievalaugmentedgeneration": "RAG", "rag": "RAG"}
-LIBRARIES = {k: k for k in ("langgraph", "langchain", "autogen", "openai", "anthropic", "fastapi", "flask", "django", "pydantic", "requests", "numpy", "pandas", "torch", "transformers")} | {"azureopenai": "azure-openai"}
+LIBRARIES = {"langgraph": "langgraph", "langchain": "langchain", "autogen": "autogen", "openai": "openai", "anthropic": "anthropic", "fastapi": "fastapi", "flask": "flask", "django": "django", "pydantic": "pydantic", "requests": "requests", "numpy": "numpy", "pandas": "pandas", "torch": "torch", "transformers": "transformers", "azureopenai": "azure-openai"}
 LIBRARY_VALUES = (*dict.fromkeys(LIBRARIES.values()), "langchain-core")
 LANGUAGE_HINTS = (("python", ("python", "py")), ("javascript", ("javascript", "node.js", "nodejs", " js ")), ("typescript", ("typescript", " ts ")), ("java", (" java ",)), ("go", (" golang ", " go ")))
 STOP_TOKENS = ("the", "and", "for", "with", "from", "this", "that", "into", "using", "used", "use", "fix", "runtime", "libraries", "library", "error", "warning", "node", "execution", "seconds", "state")
@@ -89,14 +89,14 @@ def templates(error: Column, symptom: Column, node: Column, pattern: Column, run
         F.concat_ws(" ", F.lit("fix"), error, symptom, F.lit("in"), pattern), F.concat_ws(" ", F.lit("resolve"), error, F.lit("at"), where, F.lit("for"), pattern),
         F.concat_ws(" ", pattern, where, F.lit("timeout mitigation"), error), F.concat_ws(" ", error, symptom, F.lit("call path"), where),
     ]
-    out = []
-    for base in map(query_text, bases):
-        out.append(base)
-        out.append(F.when(run != "", query_text(F.concat(base, F.lit(" runtime "), run))))
-        out.append(F.when(lang != "", query_text(F.concat(base, F.lit(" language "), lang))))
-        out.append(F.when(clause != "", query_text(F.concat(base, F.lit(" libraries "), clause))))
-        out.append(F.when((run != "") & (clause != ""), query_text(F.concat(base, F.lit(" runtime "), run, F.lit(" libraries "), clause))))
-    return F.array_compact(F.array(*out))
+    # A base is cleaned once; what is added begins with a word, so the two clean parts joined are clean.
+    added = [
+        F.lit(""), F.when(run != "", F.concat(F.lit(" "), query_text(F.concat(F.lit("runtime "), run)))), F.when(lang != "", F.concat(F.lit(" "), query_text(F.concat(F.lit("language "), lang)))),
+        F.when(clause != "", F.concat(F.lit(" "), query_text(F.concat(F.lit("libraries "), clause)))),
+        F.when((run != "") & (clause != ""), F.concat(F.lit(" "), query_text(F.concat(F.lit("runtime "), run, F.lit(" libraries "), clause)))),
+    ]
+    every = F.transform(F.array(*map(query_text, bases)), lambda base: F.array(*(F.concat(base, x) for x in added)))
+    return F.filter(F.flatten(every), lambda x: x.isNotNull())
 
 
 def query_pack(query: Column, seeds: Column, error: Column, symptom: Column, node: Column, pattern: Column, run: Column, lang: Column, libs: Column, most: int = 18) -> Column:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracequarry.plans.shared import materialise
+
 K1, B, FUSION = 1.5, 0.75, 60
 
 
@@ -21,15 +23,22 @@ def vector_top(vectors: DataFrame, query: list[float], k: int, id_col: str = "ve
     return vectors.select(id_col, F.round(cosine(F.col(vector_col), q), 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def vector_top_of(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest others of each of a stated set of queries; queries must be small enough to broadcast, and are checked for it."""
-    n = queries.count()
-    if n > 1000:
-        raise ValueError(f"{n} queries; this join is for at most 1000")
-    q = F.broadcast(queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("qv")))
-    scored = vectors.join(q, F.col(id_col) != F.col("query")).select("query", id_col, F.round(cosine(F.col(vector_col), F.col("qv")), 6).alias("score"))
+def vector_top_of(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1000) -> DataFrame:
+    """The k nearest others of each of a stated set of queries, ties by id; any number of queries.
+
+    Queries are counted and dealt by hash to blocks of about `block` (so what is broadcast at once is bounded), and
+    the vectors are read once a block. A vector is its own query's other if its id differs.
+    """
+    asked = materialise(queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("qv")), "queries")
+    blocks = max(1, -(-asked.count() // block))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), id_col))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    out = None
+    for no in range(blocks):
+        some = F.broadcast(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == no))
+        scored = vectors.join(some, F.col(id_col) != F.col("query")).select("query", id_col, F.round(cosine(F.col(vector_col), F.col("qv")), 6).alias("score"))
+        best_of = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+        out = best_of if out is None else out.unionByName(best_of)
+    return out
 
 
 def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,14 +47,17 @@ def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return each.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _times(term: str) -> Column:
-    return F.size(F.filter("w", lambda x: x == term))
-
-
 def bm25(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """Scores of documents with a query term. Terms are counted within each row, so nothing is shuffled but one row of totals a task."""
+    """Scores of documents with a query term, in any case.
+
+    Each text is split in words once, and words and query terms are counted in one walk over them; only these counts
+    are stored. Nothing is shuffled but one row of totals a task.
+    """
+    query = [q.lower() for q in query]
     words = F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    counted = docs.select(id_col, words.alias("w")).select(id_col, F.size("w").alias("n"), *(_times(q).alias(f"t{i}") for i, q in enumerate(query)))
+    zero = F.struct(F.lit(0).alias("n"), *(F.lit(0).alias(f"t{i}") for i in range(len(query))))
+    step = lambda acc, x: F.struct((acc["n"] + 1).alias("n"), *((acc[f"t{i}"] + (x == q).cast("int")).alias(f"t{i}") for i, q in enumerate(query)))
+    counted = materialise(docs.select(id_col, F.aggregate(F.coalesce(words, F.array().cast("array<string>")), zero, step).alias("c")), "bm25_counts").select(id_col, "c.*")
     totals = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(query)))).first()
     score = F.lit(0.0)
     for i in range(len(query)):

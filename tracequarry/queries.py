@@ -42,14 +42,14 @@ SELECT conv_id, turn, r AS role, CASE WHEN r = 'function' THEN 'fn' || (conv_id
 FROM (SELECT *, CASE WHEN role = 'user' AND turn % 4 = 2 AND conv_id % 2 = 0 THEN 'tool' WHEN role = 'user' AND conv_id % 5 = 1 AND turn = 2 THEN 'function' ELSE role END AS r FROM conversations)
 """
 _SPARK = {
-    "TOOLCALLS": "CASE WHEN turn % 4 = 1 THEN array(named_struct('id', 'c' || conv_id || '_' || turn, 'name', 'tool' || (turn % 3), 'arguments', substr(text, 1, 20)), named_struct('id', 'd' || conv_id || '_' || turn, 'name', 'tool0', 'arguments', 'x')) ELSE array(named_struct('id', 'c' || conv_id || '_' || turn, 'name', 'tool' || (turn % 3), 'arguments', substr(text, 1, 20))) END",
-    "FUNCTION": "named_struct('name', 'fn' || (conv_id % 3), 'arguments', substr(text, 1, 5))",
-    "RESPONSES": "array(named_struct('tool_call_id', 'c' || conv_id || '_' || (turn - 2), 'role', 'tool', 'content', substr(text, 1, 12)))",
+    "TOOLCALLS": "CASE WHEN turn % 4 = 1 THEN array(named_struct('id', 'c' || conv_id || '_' || turn, 'name', 'tool' || (turn % 3), 'arguments', text), named_struct('id', 'd' || conv_id || '_' || turn, 'name', 'tool0', 'arguments', 'x')) ELSE array(named_struct('id', 'c' || conv_id || '_' || turn, 'name', 'tool' || (turn % 3), 'arguments', text)) END",
+    "FUNCTION": "named_struct('name', 'fn' || (conv_id % 3), 'arguments', text)",
+    "RESPONSES": "array(named_struct('tool_call_id', 'c' || conv_id || '_' || (turn - 2), 'role', 'tool', 'content', text))",
 }
 _DUCK = {
-    "TOOLCALLS": "CASE WHEN turn % 4 = 1 THEN [{'id': 'c' || conv_id || '_' || turn, 'name': 'tool' || (turn % 3), 'arguments': substr(text, 1, 20)}, {'id': 'd' || conv_id || '_' || turn, 'name': 'tool0', 'arguments': 'x'}] ELSE [{'id': 'c' || conv_id || '_' || turn, 'name': 'tool' || (turn % 3), 'arguments': substr(text, 1, 20)}] END",
-    "FUNCTION": "{'name': 'fn' || (conv_id % 3), 'arguments': substr(text, 1, 5)}",
-    "RESPONSES": "[{'tool_call_id': 'c' || conv_id || '_' || (turn - 2), 'role': 'tool', 'content': substr(text, 1, 12)}]",
+    "TOOLCALLS": "CASE WHEN turn % 4 = 1 THEN [{'id': 'c' || conv_id || '_' || turn, 'name': 'tool' || (turn % 3), 'arguments': text}, {'id': 'd' || conv_id || '_' || turn, 'name': 'tool0', 'arguments': 'x'}] ELSE [{'id': 'c' || conv_id || '_' || turn, 'name': 'tool' || (turn % 3), 'arguments': text}] END",
+    "FUNCTION": "{'name': 'fn' || (conv_id % 3), 'arguments': text}",
+    "RESPONSES": "[{'tool_call_id': 'c' || conv_id || '_' || (turn - 2), 'role': 'tool', 'content': text}]",
 }
 
 
@@ -73,14 +73,14 @@ def flat(frame: DataFrame) -> DataFrame:
     return frame.select(
         "conv_id", "turn", "role", F.coalesce("name", F.lit("-")).alias("name"), F.md5("content").alias("content"), F.coalesce("tool_call_id", F.lit("-")).alias("tool_call_id"),
         F.coalesce(F.array_join(F.transform("tool_calls", lambda c: F.concat(c["id"], F.lit("="), c["name"])), ","), F.lit("-")).alias("calls"),
-        F.coalesce(F.array_join(F.transform("tool_responses", lambda r: F.concat(r["tool_call_id"], F.lit("="), F.substring(r["content"], 1, 8))), ","), F.lit("-")).alias("responses"),
+        F.coalesce(F.array_join(F.transform("tool_responses", lambda r: F.concat(r["tool_call_id"], F.lit("="), F.md5(r["content"]))), ","), F.lit("-")).alias("responses"),
         F.coalesce(F.col("function_call.name"), F.lit("-")).alias("function_name"),
     )
 
 
 FLAT = """conv_id, turn, role, coalesce(name, '-') AS name, md5(content) AS content, coalesce(tool_call_id, '-') AS tool_call_id,
  coalesce(array_to_string([c.id || '=' || c.name for c in tool_calls], ','), '-') AS calls,
- coalesce(array_to_string([r.tool_call_id || '=' || substr(r.content, 1, 8) for r in tool_responses], ','), '-') AS responses, coalesce(function_call.name, '-') AS function_name"""
+ coalesce(array_to_string([r.tool_call_id || '=' || md5(r.content) for r in tool_responses], ','), '-') AS responses, coalesce(function_call.name, '-') AS function_name"""
 _EMPTY_IDS = "CAST([] AS VARCHAR[])"
 
 
@@ -112,15 +112,15 @@ def last_message(spark, sf_dir):
     return M.last_message(log(spark, sf_dir))
 
 
-@query("SELECT conv_id, turn, role FROM (SELECT *, lag(substr(text, 1, 1) || role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN 'a' ELSE 'b' END AS role FROM conversations)) WHERE b IS NULL OR b <> substr(text, 1, 1) || role")
+@query("SELECT conv_id, turn, role FROM (SELECT *, lag(text || role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN 'a' ELSE 'b' END AS role FROM conversations)) WHERE b IS NULL OR b <> text || role")
 def dedupe_consecutive(spark, sf_dir):
-    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 1).alias("first"), F.when(F.col("turn") % 3 == 0, "a").otherwise("b").alias("role"))
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("first"), F.when(F.col("turn") % 3 == 0, "a").otherwise("b").alias("role"))
     return M.drop_consecutive(m, "first", "role").select("conv_id", "turn", "role")
 
 
-@query("""SELECT conv_id, turn FROM (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM (SELECT conv_id, turn, substr(text, 1, 2) AS c FROM conversations) WHERE trim(c) <> '' AND NOT starts_with(c, 'Th')) WHERE b IS NULL OR b <> c""")
+@query("""SELECT conv_id, turn FROM (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM (SELECT conv_id, turn, text AS c FROM conversations) WHERE trim(c) <> '' AND NOT starts_with(c, 'Th')) WHERE b IS NULL OR b <> c""")
 def admissible_messages(spark, sf_dir):
-    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 2).alias("content"))
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("content"))
     return M.admissible(m, "Th").select("conv_id", "turn")
 
 
@@ -314,7 +314,7 @@ def next_weekday_and_backoff(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.next_weekday("o_orderdate").alias("workday"), T.backoff(F.col("o_orderkey") % 9).alias("delay"))
 
 
-_ANSWER = "CASE doc_id % 4 WHEN 0 THEN ' yes - ' WHEN 1 THEN 'NO: ' WHEN 2 THEN '```json' || chr(10) || '{\"a\": 1}' || chr(10) || '```' ELSE '' END || substr(text, 1, 40)"
+_ANSWER = "CASE doc_id % 4 WHEN 0 THEN ' yes - ' WHEN 1 THEN 'NO: ' WHEN 2 THEN '```json' || chr(10) || '{\"a\": 1}' || chr(10) || '```' ELSE '' END || text"
 
 
 @query(rf"""SELECT doc_id, nullif(upper(regexp_extract(a, '(?is)^\s*(YES|NO)\b[:\-\s]*(.*)$', 1)), '') AS verdict, CASE WHEN regexp_extract(a, '(?is)^\s*(YES|NO)\b[:\-\s]*(.*)$', 1) <> '' THEN trim(regexp_extract(a, '(?is)^\s*(YES|NO)\b[:\-\s]*(.*)$', 2)) END AS reason,
@@ -360,9 +360,9 @@ def text_edits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.replace("text", F.lit("the"), F.lit("THE"))).alias("all_edits"), F.md5(T.replace_once("text", "the", "THE")).alias("first_edit"), T.strict_edit("text", "the", "THE")["error"].alias("error"))
 
 
-@query("SELECT doc_id, len([x for x in [" + ", ".join(f"'{m}'" for m in T.RETRY_MARKERS) + "] if contains(lower(substr(text, 1, 50) || CASE doc_id % 3 WHEN 0 THEN ' Connection Reset' WHEN 1 THEN ' 429' ELSE '' END), x)]) > 0 AS retryable FROM documents")
+@query("SELECT doc_id, len([x for x in [" + ", ".join(f"'{m}'" for m in T.RETRY_MARKERS) + "] if contains(lower(text || CASE doc_id % 3 WHEN 0 THEN ' Connection Reset' WHEN 1 THEN ' 429' ELSE '' END), x)]) > 0 AS retryable FROM documents")
 def retryable_errors(spark, sf_dir):
-    t = F.concat(F.substring("text", 1, 50), F.when(F.col("doc_id") % 3 == 0, " Connection Reset").when(F.col("doc_id") % 3 == 1, " 429").otherwise(""))
+    t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Connection Reset").when(F.col("doc_id") % 3 == 1, " 429").otherwise(""))
     return table(spark, sf_dir, "documents").select("doc_id", T.retryable(t).alias("retryable"))
 
 
@@ -390,29 +390,29 @@ def numbered_lines(spark, sf_dir):
     return corpus.numbered_lines(table(spark, sf_dir, "documents"), 1, 3)
 
 
-@query("WITH s AS (SELECT doc_id, line_no AS first_line, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS last_line FROM (SELECT doc_id, unnest(generate_series(0, len(ls) - 1)) AS line_no, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE regexp_matches(ls[line_no + 1], '^The')) SELECT doc_id, w AS line_no, min(first_line) AS first_line FROM (SELECT doc_id, doc_id % 7 AS w FROM documents) JOIN s USING (doc_id) WHERE w >= first_line AND (last_line IS NULL OR w <= last_line) GROUP BY doc_id, w")
+@query("WITH s AS (SELECT doc_id, line_no AS first_line, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS last_line FROM (SELECT doc_id, unnest(generate_series(0, len(ls) - 1)) AS line_no, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE regexp_matches(ls[line_no + 1], '^The')) SELECT doc_id, w AS line_no, min(first_line) AS first_line FROM (SELECT doc_id, unnest([doc_id % 7, 40 * (doc_id % 7), 5000 + doc_id]) AS w FROM documents) JOIN s USING (doc_id) WHERE w >= first_line AND (last_line IS NULL OR w <= last_line) GROUP BY doc_id, w")
 def range_lookup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return corpus.span_at(corpus.spans_of(docs, "^The"), docs.select("doc_id", (F.col("doc_id") % 7).alias("line_no")))
+    return corpus.span_at(corpus.spans_of(docs, "^The"), docs.select("doc_id", F.explode(F.array(F.col("doc_id") % 7, 40 * (F.col("doc_id") % 7), 5000 + F.col("doc_id"))).alias("line_no")))
 
 
 # ---------------------------------------------------------------- dedupe, budgets, snapshots
-@query("SELECT doc_id, source FROM documents WHERE trim(substr(text, 1, 40)) <> '' QUALIFY row_number() OVER (PARTITION BY lower(trim(substr(text, 1, 40))) ORDER BY doc_id) = 1")
+@query("SELECT doc_id, source FROM documents WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY doc_id) = 1")
 def dedupe_ordered(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 40).alias("k"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("k"))
     return corpus.dedupe_first(docs, F.col("k"), F.col("doc_id")).select("doc_id", "source")
 
 
 @query("SELECT source, doc_id, b AS before FROM (SELECT source, doc_id, coalesce(sum(t) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t FROM documents)) WHERE b <= 8000")
 def budget_prefix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", T.token_estimate("text").alias("t"))
-    return corpus.budget_prefix(docs, "source", [F.col("doc_id")], F.col("t"), 8000).select("source", "doc_id", "before")
+    return corpus.budget_prefix(docs, "source", ["doc_id"], F.col("t"), 8000).select("source", "doc_id", "before")
 
 
 @query("WITH p AS (SELECT source, doc_id, length(text) > 8000 AS o, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'fr' THEN 0 ELSE 1 END, doc_id) AS pos FROM documents), s AS (SELECT *, min(CASE WHEN o THEN pos END) OVER (PARTITION BY source) AS stop FROM p) SELECT source, doc_id, pos FROM s WHERE stop IS NULL OR pos < stop")
 def budget_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return corpus.budget_files(docs.select("source", "doc_id", "lang", F.length("text").alias("t")), "source", [F.col("doc_id")], F.col("t"), F.col("lang") == "fr", 8000).select("source", "doc_id", "pos")
+    return corpus.budget_files(docs.select("source", "doc_id", "lang", F.length("text").alias("t")), "source", ["doc_id"], F.col("t"), F.col("lang") == "fr", 8000).select("source", "doc_id", "pos")
 
 
 _PACKED = """WITH RECURSIVE o AS (SELECT source, doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import text as T
 from tracequarry.operators import codegraph as C, errors as E, graph, manifest as Mf, ranking
+from tracequarry.plans.shared import materialise
 from tracequarry.queries import query, table
 from tracequarry.sources import files
 from tracequarry.streaming import traces
@@ -44,7 +45,7 @@ def error_extract(spark, sf_dir):
     return E.extract(_logs(spark, sf_dir)).select("id", "pattern_no", "match_no", "error_type", "match_text", "suggestion")
 
 
-@query("WITH " + _error_rows() + " SELECT error_type, count(*) AS n, CASE error_type WHEN 'pkg_resources_error' THEN 'Resource Distribution Error' WHEN 'dll_load_error' THEN 'DLL Load Error' ELSE array_to_string([upper(x[1]) || x[2:] for x in string_split(error_type, '_')], ' ') END AS label FROM e GROUP BY error_type")
+@query("WITH " + _error_rows() + " SELECT error_type, count(*) AS n, CASE error_type WHEN 'dll_load_error' THEN 'DLL Load Error' WHEN 'missing_package' THEN 'Missing Package' WHEN 'import_name_error' THEN 'Import Name Error' WHEN 'attribute_error' THEN 'Attribute Error' WHEN 'version_conflict' THEN 'Version Conflict' WHEN 'dependency_error' THEN 'Dependency Error' WHEN 'incompatible_version' THEN 'Incompatible Version' END AS label FROM e GROUP BY error_type")
 def error_summary(spark, sf_dir):
     return E.summary(E.extract(_logs(spark, sf_dir)))
 
@@ -73,9 +74,19 @@ def installable_packages(spark, sf_dir):
     return E.installable(named, builtin, index)
 
 
+@query("WITH " + _error_rows() + f" SELECT id, string_agg({_PKG}, ',' ORDER BY pattern_no, match_no) AS packages FROM e WHERE error_type IN ('missing_package', 'version_conflict', 'dependency_error', 'pkg_resources_error', 'syntax_error_in_package') AND {_PKG} IS NOT NULL GROUP BY id")
+def install_packages(spark, sf_dir):
+    return E.install_packages(E.extract(_logs(spark, sf_dir))).select("id", F.array_join("packages", ",").alias("packages"))
+
+
+@query("WITH " + _error_rows() + " SELECT id, count(*) AS n_errors, count(DISTINCT error_type) AS n_kinds FROM e GROUP BY id")
+def error_report(spark, sf_dir):
+    return E.report(E.extract(_logs(spark, sf_dir))).select("id", "n_errors", F.size("kinds").cast("long").alias("n_kinds"))
+
+
 # ---------------------------------------------------------------- manifests
 _RAW = """SELECT doc_id, [' Python 3.x ', 'node', 'py3', 'Rust  1.7', '', 'GoLang'][1 + doc_id % 6] AS run, ['py', 'C#', 'TypeScript', 'node', '', 'Kotlin X'][1 + doc_id % 6] AS lang_raw, ['time-out', 'KeyError', 'HTTP 502', 'Odd  Error', ''][1 + doc_id % 5] AS err,
- ['RAG', 'react agent', 'My  Pattern', ' ', 'multi-agent'][1 + doc_id % 5] AS pat, substr(text, 1, 60) AS symptom, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS node, ['numpy and pandas', 'use torch', 'none', 'Flask app'][1 + doc_id % 4] AS said,
+ ['RAG', 'react agent', 'My  Pattern', ' ', 'multi-agent'][1 + doc_id % 5] AS pat, text AS symptom, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS node, ['numpy and pandas', 'use torch', 'none', 'Flask app'][1 + doc_id % 4] AS said,
  [['numpy.linalg', ' os.path '], ['Azure_OpenAI', 'x'], CAST([] AS VARCHAR[]), ['langchain.core', 'numpy']][1 + doc_id % 4] AS deps, ['fix it , now', ' Fix  it, now', 'run .', ''] AS seeds FROM documents"""
 
 
@@ -84,7 +95,7 @@ def _raw(spark, sf_dir):
     deps = F.get(F.array(F.array(F.lit("numpy.linalg"), F.lit(" os.path ")), F.array(F.lit("Azure_OpenAI"), F.lit("x")), F.expr("cast(array() AS array<string>)"), F.array(F.lit("langchain.core"), F.lit("numpy"))), (F.col("doc_id") % 4).cast("int"))
     return table(spark, sf_dir, "documents").select(
         "doc_id", pick([" Python 3.x ", "node", "py3", "Rust  1.7", "", "GoLang"], 6).alias("run"), pick(["py", "C#", "TypeScript", "node", "", "Kotlin X"], 6).alias("lang_raw"), pick(["time-out", "KeyError", "HTTP 502", "Odd  Error", ""], 5).alias("err"),
-        pick(["RAG", "react agent", "My  Pattern", " ", "multi-agent"], 5).alias("pat"), F.substring("text", 1, 60).alias("symptom"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("source")).alias("node"),
+        pick(["RAG", "react agent", "My  Pattern", " ", "multi-agent"], 5).alias("pat"), F.col("text").alias("symptom"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("source")).alias("node"),
         pick(["numpy and pandas", "use torch", "none", "Flask app"], 4).alias("said"), deps.alias("deps"), F.array(*map(F.lit, ["fix it , now", " Fix  it, now", "run .", ""])).alias("seeds"),
     )
 
@@ -168,10 +179,10 @@ def trace_packets(spark, sf_dir):
     return flat.select(F.substring_index("commit_id", "#", -1).cast("long").alias("doc_id"), "repository", F.array_join("violations", ",").alias("violations"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'not a file' WHEN doc_id % 5 = 1 THEN 'unknown encoding' WHEN doc_id % 5 = 2 THEN 'empty' END AS error, CASE WHEN doc_id % 5 > 2 THEN substr(text, 1, 60) END AS text FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'not a file' WHEN doc_id % 5 = 1 THEN 'unknown encoding' WHEN doc_id % 5 = 2 THEN 'empty' END AS error, CASE WHEN doc_id % 5 > 2 THEN text END AS text FROM documents")
 def content_decode(spark, sf_dir):
     i = F.col("doc_id") % 5
-    coded = F.regexp_replace(F.base64(F.encode(F.substring("text", 1, 60), "UTF-8")), "(.{20})", "$1\n")
+    coded = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "(.{20})", "$1\n")
     payload = table(spark, sf_dir, "documents").select("doc_id", F.when(i == 0, "dir").otherwise("file").alias("type"), F.when(i == 1, "none").otherwise("base64").alias("encoding"), F.when(i == 2, " \n").otherwise(coded).alias("content"))
     return files.decoded_content(payload).select("doc_id", "error", "text")
 
@@ -294,11 +305,13 @@ def package_rollup(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- graphs
-_GRAPH = "SELECT DISTINCT 'p' || (l_partkey % 40) AS src, CASE WHEN l_suppkey % 3 = 0 THEN 's' || (l_suppkey % 30) ELSE 'p' || (l_suppkey % 40) END AS dst FROM lineitem WHERE l_partkey % 7 = 0 AND l_partkey % 40 <> l_suppkey % 40"
+#: Parts and suppliers of all line items; and the same folded to a graph of the size of a repository's modules.
+_GRAPH = "SELECT DISTINCT 'p' || l_partkey AS src, CASE WHEN l_suppkey % 3 = 0 THEN 's' || l_suppkey ELSE 'p' || l_suppkey END AS dst FROM lineitem WHERE l_suppkey % 3 = 0 OR l_partkey <> l_suppkey"
+_MODULES = "SELECT DISTINCT 'm' || (l_partkey % 60) AS src, CASE WHEN l_suppkey % 3 = 0 THEN 's' || (l_suppkey % 12) ELSE 'm' || (l_suppkey % 60) END AS dst FROM lineitem WHERE (l_suppkey % 3 = 0 OR l_partkey % 60 <> l_suppkey % 60) AND (l_partkey + l_suppkey) % 60 < 9"
 
 
-def _graph(spark, sf_dir):
-    return spark.sql(_GRAPH.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+def _graph(spark, sf_dir, graph_sql=_GRAPH):
+    return spark.sql(graph_sql.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
 
 
 @query(f"WITH g AS ({_GRAPH}) SELECT node, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM g UNION ALL SELECT dst, 1, 0 FROM g) GROUP BY node")
@@ -306,16 +319,17 @@ def graph_degrees(spark, sf_dir):
     return graph.degrees(_graph(spark, sf_dir))
 
 
-def _pagerank_sql(rounds: int) -> str:
-    out = f"WITH g AS ({_GRAPH}), v AS (SELECT src AS node FROM g UNION SELECT dst FROM g), c AS (SELECT count(*)::DOUBLE AS n FROM v), d AS (SELECT src, count(*) AS n FROM g GROUP BY src), r0 AS (SELECT node, 1.0 / c.n AS rank FROM v, c)"
+def _pagerank_ctes(rounds: int, graph_sql: str) -> str:
+    out = f"g AS MATERIALIZED ({graph_sql}), v AS MATERIALIZED (SELECT src AS node FROM g UNION SELECT dst FROM g), c AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM v), d AS MATERIALIZED (SELECT src, count(*) AS n FROM g GROUP BY src), r0 AS MATERIALIZED (SELECT node, 1.0 / c.n AS rank FROM v, c)"
     for k in range(rounds):
-        out += f""", r{k + 1} AS (SELECT v.node, 0.15 / c.n + 0.85 * (coalesce(m.got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k} WHERE node NOT IN (SELECT src FROM d)) / c.n) AS rank FROM v CROSS JOIN c LEFT JOIN (SELECT g.dst, sum(r.rank / d.n) AS got FROM g JOIN d USING (src) JOIN r{k} r ON r.node = g.src GROUP BY g.dst) m ON m.dst = v.node)"""
-    return out + f" SELECT node, round(rank, 6) AS rank FROM r{rounds}"
+        out += f""", r{k + 1} AS MATERIALIZED (SELECT v.node, 0.15 / c.n + 0.85 * (coalesce(m.got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k} WHERE node NOT IN (SELECT src FROM d)) / c.n) AS rank FROM v CROSS JOIN c LEFT JOIN (SELECT g.dst, sum(r.rank / d.n) AS got FROM g JOIN d USING (src) JOIN r{k} r ON r.node = g.src GROUP BY g.dst) m ON m.dst = v.node)"""
+    return out
 
 
-@query(_pagerank_sql(6))
+@query("WITH " + _pagerank_ctes(8, _GRAPH) + " SELECT node, round(rank, 6) AS rank FROM r8")
 def module_rank(spark, sf_dir):
-    return graph.pagerank(_graph(spark, sf_dir), 6).select("node", F.round("rank", 6).alias("rank"))
+    # The graph has two levels, so ranks stand still after a few rounds: eight in the SQL, as many here.
+    return graph.pagerank(_graph(spark, sf_dir), 8, tolerance=None).select("node", F.round("rank", 6).alias("rank"))
 
 
 @query("SELECT node, round(b, 6) AS betweenness FROM (VALUES ('a', 0.0), ('b', 0.25), ('c', 0.25), ('d', 0.75), ('e', 0.5), ('f', 0.0)) AS t(node, x), (SELECT 0) AS z(o), LATERAL (SELECT CASE node WHEN 'a' THEN 0.0 WHEN 'b' THEN 1.5 / 20 WHEN 'c' THEN 1.5 / 20 WHEN 'd' THEN 6.0 / 20 WHEN 'e' THEN 4.0 / 20 ELSE 0.0 END AS b)")
@@ -324,10 +338,27 @@ def module_betweenness(spark, sf_dir):
     return graph.betweenness(spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "f")], "src string, dst string")).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
-@query(f"WITH g AS ({_GRAPH}) SELECT node, round(least((least(i / 5.0, 1.0) * 0.5 + least(o / 10.0, 1.0) * 0.2 + least(0.05 * 10, 1.0) * 0.6 + least(0.01 * 10, 1.0) * 0.4) / 1.7 + CASE WHEN i > 2 AND o <= 1 THEN 0.3 ELSE 0 END + CASE WHEN i > 2 AND o > 2 THEN 0.2 ELSE 0 END, 1.0), 6) AS score FROM (SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT src AS node, 0 AS i, 1 AS o FROM g UNION ALL SELECT dst, 1, 0 FROM g) GROUP BY node)")
+def _betweenness_ctes(depth: int) -> str:
+    """Shortest paths level by level, and the dependencies back; right while no shortest path is longer than depth."""
+    out = "l0 AS MATERIALIZED (SELECT node AS s, node, 0 AS d, 1.0::DOUBLE AS paths FROM v)"
+    seen = "SELECT s, node FROM l0"
+    for k in range(1, depth + 1):
+        out += f", l{k} AS MATERIALIZED (SELECT l.s, g.dst AS node, {k} AS d, sum(l.paths) AS paths FROM l{k - 1} l JOIN g ON g.src = l.node WHERE NOT EXISTS (SELECT 1 FROM ({seen}) z WHERE z.s = l.s AND z.node = g.dst) GROUP BY l.s, g.dst)"
+        seen += f" UNION ALL SELECT s, node FROM l{k}"
+    out += f", b{depth} AS MATERIALIZED (SELECT s, node, paths, 0.0::DOUBLE AS dep FROM l{depth})"
+    for k in range(depth - 1, -1, -1):
+        out += f", b{k} AS MATERIALIZED (SELECT l.s, l.node, l.paths, coalesce(sum(l.paths / w.paths * (1 + w.dep)), 0.0) AS dep FROM l{k} l LEFT JOIN (SELECT w.*, g.src FROM b{k + 1} w JOIN g ON g.dst = w.node) w ON w.s = l.s AND w.src = l.node GROUP BY l.s, l.node, l.paths)"
+    every = " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(1, depth + 1))
+    return out + f", bc AS MATERIALIZED (SELECT v.node, coalesce(sum(e.dep), 0) / ((c.n - 1) * (c.n - 2)) AS b FROM v CROSS JOIN c LEFT JOIN ({every}) e ON e.node = v.node GROUP BY v.node, c.n)"
+
+
+@query("WITH " + _pagerank_ctes(40, _MODULES) + ", " + _betweenness_ctes(8) + """, dg AS (SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT src AS node, 0 AS i, 1 AS o FROM g UNION ALL SELECT dst, 1, 0 FROM g) GROUP BY node)
+SELECT node, round(least((least(i / 5.0, 1.0) * 0.5 + least(o / 10.0, 1.0) * 0.2 + least(rank * 10, 1.0) * 0.6 + least(b * 10, 1.0) * 0.4) / 1.7 + CASE WHEN i > 2 AND o <= 1 THEN 0.3 ELSE 0 END + CASE WHEN i > 2 AND o > 2 THEN 0.2 ELSE 0 END, 1.0), 4) AS score FROM dg JOIN r40 USING (node) JOIN bc USING (node)""")
 def relation_scores(spark, sf_dir):
-    d = graph.degrees(_graph(spark, sf_dir))
-    return d.select("node", F.round(C.relation_score(F.col("n_in"), F.col("n_out"), F.lit(0.05), F.lit(0.01)), 6).alias("score"))
+    # Degrees, ranks and betweenness of one graph of modules.
+    g = materialise(_graph(spark, sf_dir, _MODULES), "modules")
+    d = graph.degrees(g).join(graph.pagerank(g), "node").join(graph.betweenness(g), "node")
+    return d.select("node", F.round(C.relation_score(F.col("n_in"), F.col("n_out"), F.col("rank"), F.col("betweenness")), 4).alias("score"))
 
 
 # ---------------------------------------------------------------- commands, boosts, patterns
@@ -338,10 +369,10 @@ def command_dedupe(spark, sf_dir):
     return ranking.dedupe_commands(table(spark, sf_dir, "documents").select((i % 10).alias("task"), i.alias("pos"), F.lit("sh").alias("language"), c.alias("command")))
 
 
-@query("SELECT page_id, CASE WHEN contains(substr(url, 1, page_id % 12), '/') THEN 1.5 ELSE 7.5 END AS score, CASE WHEN 3 * (page_id % 3) * 0.5 + page_id % 4 >= 4.4 THEN 'high' WHEN 3 * (page_id % 3) * 0.5 + page_id % 4 >= 3.2 THEN 'medium' ELSE 'low' END AS level FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 AND contains(url, '/') THEN 1.5 ELSE 7.5 END AS score, CASE WHEN 3 * (page_id % 3) * 0.5 + page_id % 4 >= 4.4 THEN 'high' WHEN 3 * (page_id % 3) * 0.5 + page_id % 4 >= 3.2 THEN 'medium' ELSE 'low' END AS level FROM pages")
 def boosts_and_patterns(spark, sf_dir):
     i = F.col("page_id")
-    return table(spark, sf_dir, "pages").select("page_id", ranking.root_boost(F.lit(1.5), F.substring("url", F.lit(1), (i % 12).cast("int"))).alias("score"), ranking.pattern_level((i % 3) * 0.5, i % 4).alias("level"))
+    return table(spark, sf_dir, "pages").select("page_id", ranking.root_boost(F.lit(1.5), F.when(i % 2 == 0, F.col("url")).otherwise(F.replace("url", F.lit("/"), F.lit("")))).alias("score"), ranking.pattern_level((i % 3) * 0.5, i % 4).alias("level"))
 
 
 # ---------------------------------------------------------------- windows of event streams, on the stored table

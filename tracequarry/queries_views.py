@@ -95,9 +95,9 @@ def render_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", V.metadata_text(meta).alias("metadata"), V.fill_placeholders("do {items} in {lang}", {"items": V.list_text(items), "lang": F.col("lang")}).alias("filled"), V.repo_kind(address).alias("kind"))
 
 
-@query("SELECT conv_id, string_agg(role || CASE WHEN turn % 2 = 0 THEN '' ELSE chr(10) || substr(text, 1, 9) END, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(role || CASE WHEN turn % 2 = 0 THEN '' ELSE chr(10) || text END, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
 def search_context(spark, sf_dir):
-    hits = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("title"), F.when(F.col("turn") % 2 == 1, F.substring("text", 1, 9)).alias("snippet"), F.lit("").alias("content"))
+    hits = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("title"), F.when(F.col("turn") % 2 == 1, F.col("text")).alias("snippet"), F.lit("").alias("content"))
     return V.hit_context(hits, "conv_id")
 
 

@@ -35,7 +35,9 @@ def repository(spark: SparkSession, root: str, max_depth: int = 3, per_dir: int
     ranked = listed.withColumn("dir", folder).withColumns({"n": F.count(F.lit(1)).over(by), "r": F.row_number().over(by.orderBy("path"))})
     most = F.when(F.col("n") > crowded, 0).when(F.col("n") > full, of_full).otherwise(per_dir)
     kept = ranked.where((F.col("r") <= most) & (F.col("length") <= max_bytes)).select("path", "full_path")
-    return kept.join(found.select(F.col("path").alias("full_path"), "content"), "full_path").select("path", decoded(F.col("content")).alias("content"))
+    # Names go through the window, contents only of files that may stay, and those beside a bounded list of names are not moved.
+    contents = found.where((F.col("length") <= max_bytes) & (F.size(F.split(path, "/")) <= max_depth + 1) & ~ignored_in_repository(path)).select(F.col("path").alias("full_path"), "content")
+    return kept.join(contents, "full_path").select("path", decoded(F.col("content")).alias("content"))
 
 
 def decoded(content: Column) -> Column:
