@@ -165,11 +165,11 @@ def test_anchored_patterns_find_the_same(spark):
     bits = ["pkg", " requires ", "requires ", "a>=1", ", but b is installed", " is installed", ", which is not installed", " 1.0 is incompatible with ", " is incompatible with ", "q 2.0", " ", "\n", "1.0", ",", "x y ", "p requires a 2, but ", "p requires q"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.choice([3, 8, 20]))) for _ in range(400)]
     names = ("version_conflict", "dependency_error", "incompatible_version")
-    fixed = {name: re.compile("(?im)" + pattern) for name, pattern, *_ in errors.PATTERNS if name in names}
+    fixed = {name: (re.compile("(?im)" + pattern), groups) for name, pattern, groups, _ in errors.PATTERNS if name in names}
     got = errors.extract(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).collect()
-    for name, pattern in fixed.items():
+    for name, (pattern, groups) in fixed.items():
         want = sorted((i, n, m[0], m.groups()) for i, t in enumerate(texts) for n, m in enumerate(pattern.finditer(t)))
-        assert sorted((r.id, r.match_no, r.match_text, tuple(r.details.values())) for r in got if r.error_type == name) == want and want
+        assert sorted((r.id, r.match_no, r.match_text, tuple(r.details[g] for g in groups)) for r in got if r.error_type == name) == want and want
 
 
 def test_long_line_is_quick(spark):
