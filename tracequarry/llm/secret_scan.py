@@ -1,8 +1,10 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame and SQL functions only.
 
 Candidates are found by patterns. The value of each is hashed, and for every hash the distinct repositories and
-owners that hold it are counted over the whole corpus. A value under many owners is an example that people copy;
-a random-looking value under at most a few owners is taken for a live credential of theirs.
+owners that hold it are counted over the whole corpus. A value that several owners have in several repositories, or
+that very many repositories have, is an example that people copy; any other is taken for a live credential of its
+owners. Where the table names no repository, a text is one, whose exact copies count once: a secret does not become
+an example because its document was copied.
 """
 
 from __future__ import annotations
@@ -22,12 +24,16 @@ PATTERNS = {
     "hex": ("[0-9a-f]{24,}", "", 24),
     "vendor": (r"(?:gh[opsu]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{16,}|xox[abp]-[A-Za-z0-9-]{16,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", "", 16),
 }
-#: A value under more owners than this is a copied example.
+#: A value under more owners than this, in more repositories than this, is a copied example, ...
 MOST_OWNERS = 2
-#: A live value has so many characters at least, letters and digits among them.
-LEAST_LIVE = 12
+#: ... as is one in more repositories than this, whoever owns them.
+MOST_REPOSITORIES = 50
 NAMES = str(list(KINDS))
-SPAN = "struct<kind:int,s:int,e:int,v:int,hash:string,random:boolean>"
+SPAN = "struct<kind:int,s:int,e:int,v:int,hash:string>"
+#: Matches that are walked at a time: what is added to grows no longer than this, so the walk is linear in them.
+WALK = 256
+#: Values with more occurrences than this share of all are joined by broadcast; there are at most its inverse of them.
+HOT_SHARE = 0.001
 
 
 def _literal(pattern: str) -> str:
@@ -46,51 +52,75 @@ def candidates(docs: DataFrame, text: Column) -> DataFrame:
     spans = []
     for k, kind in enumerate(PATTERNS):
         _, prefix, least = PATTERNS[kind]
-        value = f"regexp_replace(x, concat('^', {_literal(prefix)}), '')" if prefix else "x"
+        value = f"regexp_replace(x.x, concat('^', {_literal(prefix)}), '')" if prefix else "x.x"
+        # Places are sums of lengths; blocks of matches are walked one after another, each into a list of its own.
         walked = f"""
-            aggregate(sequence(1, size(__m{k})), named_struct('at', 0, 'out', cast(array() AS array<struct<s:int,x:string>>)),
-                (acc, i) -> named_struct('at', acc.at + length(__g{k}[i - 1]) + length(__m{k}[i - 1]),
-                                         'out', concat(acc.out, array(named_struct('s', acc.at + length(__g{k}[i - 1]), 'x', __m{k}[i - 1])))),
-                acc -> acc.out)"""
-        full = f"""transform({walked}, p -> named_struct('s', p.s, 'x', p.x, 'value', {value.replace("(x,", "(p.x,") if prefix else "p.x"}))"""
+            flatten(aggregate(sequence(0, (size(__m{k}) - 1) div {WALK}), named_struct('at', 0, 'out', cast(array() AS array<array<struct<s:int,x:string>>>)),
+                (acc, b) -> aggregate(sequence(b * {WALK} + 1, least(size(__m{k}), (b + 1) * {WALK})), named_struct('at', acc.at, 'own', cast(array() AS array<struct<s:int,x:string>>)),
+                    (one, i) -> named_struct('at', one.at + length(__g{k}[i - 1]) + length(__m{k}[i - 1]),
+                                             'own', concat(one.own, array(named_struct('s', one.at + length(__g{k}[i - 1]), 'x', __m{k}[i - 1])))),
+                    one -> named_struct('at', one.at, 'out', concat(acc.out, array(one.own)))),
+                acc -> acc.out))"""
+        full = f"transform({walked}, x -> named_struct('s', x.s, 'x', x.x, 'value', {value}))"
         spans.append(f"""CASE WHEN size(__m{k}) > 0 THEN transform(filter({full}, p -> length(p.value) >= {least}),
-            p -> named_struct('kind', {k}, 's', p.s, 'e', p.s + length(p.x), 'v', p.s + length(p.x) - length(p.value), 'hash', sha2(p.value, 256),
-                              'random', length(p.value) >= {LEAST_LIVE} AND p.value rlike '[0-9]' AND p.value rlike '[A-Za-z]')) ELSE cast(array() AS array<{SPAN}>) END""")
+            p -> named_struct('kind', {k}, 's', p.s, 'e', p.s + length(p.x), 'v', p.s + length(p.x) - length(p.value), 'hash', sha2(p.value, 256))) ELSE cast(array() AS array<{SPAN}>) END""")
     drop = ["__t", *(f"__{x}{k}" for k in range(len(PATTERNS)) for x in "mg")]
     return found.withColumn("__spans", F.expr(f"concat({', '.join(spans)})")).drop(*drop)
 
 
 def ownership(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """hash, random, n_repositories and n_owners over all rows of candidates(). A null repository or owner counts as one.
+    """hash, n_repositories, n_owners and n (rows that hold it) over all rows of candidates(). A null repository or owner counts as one.
 
     Counted in steps, each with a partial sum before its shuffle: a value that fills the corpus is no hot key.
     """
-    each = found.select(F.explode(F.array_distinct(F.transform("__spans", lambda p: F.struct(p["hash"].alias("hash"), p["random"].alias("random"))))).alias("c"), repository.alias("repository"), owner.alias("owner"))
-    held = each.select("c.hash", "c.random", "repository", "owner").distinct()
-    by_owner = held.groupBy("hash", "random", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return by_owner.groupBy("hash", "random").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
+    each = found.select(F.explode(F.array_distinct(F.transform("__spans", lambda p: p["hash"]))).alias("hash"), repository.alias("repository"), owner.alias("owner"))
+    held = each.groupBy("hash", "repository", "owner").agg(F.count(F.lit(1)).alias("n"))
+    # Each count in its own order of steps, so neither keys a task on a value alone before it is small.
+    by_repository = held.groupBy("hash", "repository").agg(F.sum("n").alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_repositories"), F.sum("n").alias("n"))
+    by_owner = held.select("hash", "owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"))
+    return by_repository.join(by_owner, "hash").select("hash", "n_repositories", "n_owners", "n")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: str = "doc_id", owner: str = "source", most_owners: int = MOST_OWNERS, keep: tuple[str, ...] = ()) -> DataFrame:
+def is_live(most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> Column:
+    spread = (F.col("n_owners") > most_owners) & (F.col("n_repositories") > most_owners)
+    return ~(spread | (F.col("n_repositories") > most_repositories))
+
+
+FOUND = "array<struct<kind:int,s:int,e:int>>"
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: str | None = None, owner: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Candidates of every whole text with the corpus-wide verdict.
 
-    Returns keep, id_col, __spans (candidates; kind 0 to 3) and __live (the spans of the values judged live, as
-    kind 4 from the value's start), one row for each input row. A null text counts as empty. Of the text itself
-    only what keep names is stored on the way. Owners are counted per value; a value is live if it looks random
-    and has at most most_owners owners.
+    Returns keep, id_col, __spans (candidates; kind 0 to 3), __live (the spans of the values judged live, as kind 4
+    from the value's start), __repositories and __owners (the greatest counts among the row's values, 0 without one),
+    one row for each input row. A null text counts as empty; a very long one is walked in time in proportion to its
+    matches, in one task. repository names a column; without it a text and its exact copies are one. Of the text
+    itself only what keep names is stored on the way, beside the values' digests.
     """
     names = list(dict.fromkeys((*keep, id_col)))
-    picked = docs.select(*(F.col(c) for c in names), F.col(text_col).cast("string").alias("__text"), F.col(repository).alias("__repository"), F.col(owner).alias("__owner"))
+    text = F.col(text_col).cast("string")
+    place = F.col(repository) if repository else F.md5(text)
+    picked = docs.select(*(F.col(c) for c in names), text.alias("__text"), place.alias("__repository"), F.col(owner).alias("__owner"))
     # Written once: the texts are matched in one pass, and the row numbers stay as they are.
     found = materialise(candidates(picked, F.col("__text")).drop("__text").withColumn("__row", F.monotonically_increasing_id()), "secret_candidates")
-    counts = ownership(found.where(F.size("__spans") > 0), F.col("__repository"), F.col("__owner"))
-    live = counts.where(F.col("random") & (F.col("n_owners") <= most_owners)).select("hash")
-    each = found.where(F.size("__spans") > 0).select("__row", F.explode("__spans").alias("p")).where("p.random").select("__row", "p.v", "p.e", "p.hash")
-    marked = each.join(live, "hash", "left_semi").distinct().groupBy("__row").agg(F.sort_array(F.collect_set(F.expr("named_struct('kind', 4, 's', v, 'e', e)"))).alias("__live"))
+    holding = found.where(F.size("__spans") > 0)
+    counts = materialise(ownership(holding, F.col("__repository"), F.col("__owner")).withColumn("live", is_live(most_owners, most_repositories)), "secret_counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    bound = max(1000, int(total * HOT_SHARE))
+    each = holding.select("__row", F.explode("__spans").alias("p")).select("__row", "p.v", "p.e", "p.hash")
+    columns = ("hash", "n_repositories", "n_owners", "live")
+    # At most 1 / HOT_SHARE values have more rows than the bound: a small side, and no task gets all rows of one of the others.
+    hot = F.broadcast(counts.where(F.col("n") > bound).select(*columns))
+    judged = each.join(hot, "hash").unionByName(each.join(hot.select("hash"), "hash", "left_anti").join(counts.where(F.col("n") <= bound).select(*columns), "hash"))
+    marked = judged.groupBy("__row").agg(
+        F.sort_array(F.collect_set(F.when(F.col("live"), F.expr("named_struct('kind', 4, 's', v, 'e', e)")))).alias("__live"), F.max("n_repositories").alias("__repositories"), F.max("n_owners").alias("__owners")
+    )
     # Only rows that have a candidate take part in the join.
-    some = found.where(F.size("__spans") > 0).join(marked, "__row", "left")
-    none = found.where(F.size("__spans") == 0).withColumn("__live", F.lit(None).cast("array<struct<kind:int,s:int,e:int>>"))
-    cols = [*names, "__spans", F.coalesce("__live", F.expr("cast(array() AS array<struct<kind:int,s:int,e:int>>)")).alias("__live")]
+    some = holding.join(marked, "__row", "left")
+    none = found.where(F.size("__spans") == 0).withColumns({"__live": F.lit(None).cast(FOUND), "__repositories": F.lit(None).cast("long"), "__owners": F.lit(None).cast("long")})
+    zero = F.lit(0).cast("long")
+    cols = [*names, "__spans", F.coalesce("__live", F.expr(f"cast(array() AS {FOUND})")).alias("__live"), F.coalesce("__repositories", zero).alias("__repositories"), F.coalesce("__owners", zero).alias("__owners")]
     return some.select(*cols).unionByName(none.select(*cols))
 
 
@@ -109,13 +139,14 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scanned.select(
         F.col(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.concat(plain, "__live")).alias("spans"), F.size("__live").cast("long").alias("n_live"),
+        F.col("__repositories").alias("most_repositories"), F.col("__owners").alias("most_owners"),
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", mask: str = "[SECRET]", most_owners: int = MOST_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: str | None = None, owner: str = "source", mask: str = "[SECRET]", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """docs with every live value replaced by the mask; other rows and columns stay as they are."""
     names = docs.columns
-    found = scan(docs.select("*"), id_col, text_col, id_col, owner, most_owners, tuple(names))
+    found = scan(docs, id_col, text_col, repository, owner, most_owners, most_repositories, tuple(names))
     walked = F.aggregate(
         "__live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, p: F.when(p["e"] <= acc["at"], acc).otherwise(
@@ -125,28 +156,29 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     return found.withColumn(text_col, F.when(F.size("__live") > 0, walked).otherwise(F.col(text_col))).select(*names)
 
 
-def oracle(most_owners: int = MOST_OWNERS) -> str:
+def oracle(most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> str:
     """DuckDB SQL for report(scan(documents))."""
     parts = []
     for k, kind in enumerate(PATTERNS):
         pattern, prefix, least = (x.replace("'", "''") if isinstance(x, str) else x for x in PATTERNS[kind])
         value = f"regexp_replace(m, '^(?:' || '{prefix}' || ')', '')" if prefix else "m"
         parts.append(f"""
-        SELECT rn, doc_id, source, {k} AS kind, s, s + length(m) AS e, {value} AS value FROM (
-            SELECT rn, doc_id, source, ms[i] AS m, coalesce(list_sum([length(x) for x in gs[1:i]]), 0) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) AS s
-            FROM (SELECT rn, doc_id, source, ms, string_split_regex(t, '{pattern}') AS gs, unnest(generate_series(1, len(ms))) AS i
-                  FROM (SELECT rn, doc_id, source, t, regexp_extract_all(t, '{pattern}') AS ms FROM d) WHERE len(ms) > 0))
+        SELECT rn, doc_id, source, copy, {k} AS kind, s, s + length(m) AS e, {value} AS value FROM (
+            SELECT rn, doc_id, source, copy, ms[i] AS m, coalesce(list_sum([length(x) for x in gs[1:i]]), 0) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) AS s
+            FROM (SELECT rn, doc_id, source, copy, ms, string_split_regex(t, '{pattern}') AS gs, unnest(generate_series(1, len(ms))) AS i
+                  FROM (SELECT rn, doc_id, source, copy, t, regexp_extract_all(t, '{pattern}') AS ms FROM d) WHERE len(ms) > 0))
         WHERE length({value}) >= {least}""")
     return f"""
-    WITH d AS (SELECT row_number() OVER () AS rn, doc_id, source, coalesce(text, '') AS t FROM documents),
+    WITH d AS (SELECT row_number() OVER () AS rn, doc_id, source, coalesce(text, '') AS t, coalesce(text, '') AS copy FROM documents),
     c AS ({' UNION ALL '.join(parts)}),
-    v AS (SELECT value FROM c WHERE length(value) >= {LEAST_LIVE} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
-          GROUP BY value HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) <= {most_owners}),
-    a AS (SELECT rn, kind, s, e FROM c UNION ALL SELECT DISTINCT rn, 4, e - length(value), e FROM c WHERE value IN (SELECT value FROM v)),
+    v AS (SELECT value, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners, count(DISTINCT copy) AS repositories FROM c GROUP BY value),
+    l AS (SELECT value FROM v WHERE NOT (owners > {most_owners} AND repositories > {most_owners} OR repositories > {most_repositories})),
+    a AS (SELECT rn, kind, s, e FROM c UNION ALL SELECT DISTINCT rn, 4, e - length(value), e FROM c WHERE value IN (SELECT value FROM l)),
+    f AS (SELECT rn, max(repositories) AS most_repositories, max(owners) AS most_owners FROM c JOIN v USING (value) GROUP BY rn),
     r AS (SELECT rn, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, count(*) FILTER (WHERE kind = 4) AS n_live,
                  string_agg({NAMES}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3) AS base,
                  string_agg({NAMES}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS spans
           FROM a GROUP BY rn)
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-           coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
-    FROM d LEFT JOIN r USING (rn)"""
+           coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(most_repositories, 0) AS most_repositories, coalesce(most_owners, 0) AS most_owners
+    FROM d LEFT JOIN r USING (rn) LEFT JOIN f USING (rn)"""
