@@ -97,3 +97,20 @@ def test_minhash_estimates_similarity():
         x, y = J.minhash(np.concatenate((common, a))), J.minhash(np.concatenate((common, b)))
         errors.append((x == y).mean() - 0.8)
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
+
+
+def test_clashing_names_and_copies(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    names = "doc_id long, text string, same string, id int, key int, m int, node int, `__same` string, `__id` int"
+    docs = spark.createDataFrame([(i, long, "x", 1, 2, 3, 4, "y", 5) for i in range(1500)] + [(9999, None, "x", 1, 2, 3, 4, "y", 5)], names)
+    got = J.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [0, 9999]
+    # More copies than are joined by a shuffle.
+    assert {(r.class_id, r.n_links, r.n_copies) for r in J.jaccard_classes(docs).collect()} == {(0, 0, 1500), (9999, 0, 1)}
+
+
+def test_texts_without_candidates_do_not_move(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(1000)], "id long, same string")
+    few = docs.where("id % 100 = 0")
+    kept = {r.id for r in J._only(docs, few).collect()}
+    assert kept >= {r.id for r in few.collect()} and len(kept) < 20

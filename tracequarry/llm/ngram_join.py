@@ -12,6 +12,10 @@
 
 Large buckets and components are cut into blocks; every pair of blocks is one unit of work, so no task gets a
 whole group, and a unit's rows leave as counts and as a forest of links, not as pairs.
+
+Texts stay where they are. Signatures and digests move; of the texts only one of each n-gram set that has a candidate
+does, as n-grams. A bitmap of fixed size tells the second scan which rows those are (a row that it lets by in error
+goes in the exact join behind it). Texts with very many copies are joined by broadcast, as there are few of them.
 """
 
 from __future__ import annotations
@@ -23,12 +27,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.llm._text import Prefix, groups, shingles, slices, text_buffer, words
 from tracequarry.plans.components import connected_components
 from tracequarry.plans.shared import materialise
+from tracequarry.plans.skew import join_split
 
 WORDS, THRESHOLD = 5, 0.8
 VALUES, BANDS = 128, 32
@@ -36,6 +41,7 @@ ROWS = VALUES // BANDS
 STEP = 16  # values compared between two looks at the posterior
 TOLERANCE = 1e-6
 BLOCK = 512  # nodes of a block
+MARKS = 1 << 26  # bits of the bitmap that tells which rows' texts are wanted: 8 MB
 _A = np.random.default_rng(20240229).integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
 _B = np.random.default_rng(20240301).integers(0, 1 << 32, VALUES, dtype=np.uint32)
 
@@ -198,7 +204,21 @@ def _with_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             some = batch.slice(lo, 500)
-            yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array([own.tobytes() for own in _sets(some.column(4))], pa.binary())], names=["node", "root", "n", "weight", "grams"])
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([own.tobytes() for own in _sets(some.column(2))], pa.binary())], names=["same", "id", "grams"])
+
+
+def _mark(same: str, id_col: str) -> Column:
+    return F.pmod(F.xxhash64(same, id_col), F.lit(MARKS))
+
+
+def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows (same, id, ...) without most of those that are not in wanted (same, id), and without moving any: a broadcast of at most MARKS bits."""
+    word = F.floor(F.col("m") / 63)
+    bitmap = wanted.select(_mark("same", "id").alias("m")).groupBy(word.alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 63 AS int))")).alias("__bits"))
+    marked = rows.withColumn("m", _mark("same", "id")).withColumn("__word", word)
+    # At most MARKS / 63 rows of two numbers.
+    hit = F.expr("shiftright(__bits, cast(m % 63 AS int)) & 1") == 1
+    return marked.join(F.broadcast(bitmap), "__word").where(hit).drop("m", "__word", "__bits")
 
 
 def _pairs(found: list[tuple[np.ndarray, list[tuple[int, int]]]]) -> pa.RecordBatch:
@@ -229,6 +249,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Similarity is that of the sets of five-word runs; of texts with fewer words, the run of all their words. Texts
     without a word link with nothing; equal ones share a class. A null text is a class of its own, with n_copies 1
     and its own id; null ids are ignored when the least is taken.
+    A very long text is handled alone, in one task, in memory of some ten times its length. Extra columns are not read.
     Candidates are missed with a probability below (1 - threshold**4)**32 each, pruned ones with the tolerance.
     """
     kind = dict(docs.dtypes)[id_col]
@@ -236,15 +257,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(text_col).cast("string")
     picked = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("same"), text.alias("t"))
     signed = materialise(picked.where("t IS NOT NULL").mapInArrow(_signed, f"id {kind}, same binary, key binary, signature binary"), "signed")
-    texts = signed.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n_copies"), F.min("id").alias("id"), F.first("signature").alias("signature"))
-    texts = materialise(texts, "texts")
-    node = texts.groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("id"), F.min("same").alias("same"), F.first("signature").alias("signature"))
-    nodes = materialise(node.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # Copies and the least id of each text; a signature moves once, with the first of its n-gram set in a task.
+    texts = materialise(signed.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n_copies"), F.min("id").alias("id")), "texts")
+    about = texts.groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("id"), F.min(F.struct("same", "id")).alias("text"), F.sum("n_copies").alias("n_rows"))
+    signs = signed.groupBy("key").agg(F.min("signature").alias("signature"))
+    nodes = materialise(about.join(signs, "key").select("key", "weight", "id", "n_rows", F.col("text.same").alias("same"), F.col("text.id").alias("text_id"), "signature").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     # Bands: one row for each node and band; a bucket is known by what it holds, so equal buckets count once.
     width = ROWS * 4
     bands = nodes.where("signature IS NOT NULL").select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * width + 1, F.lit(width))))).alias("bucket"))
-    held = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("a"), F.min("node").alias("b"), F.max("node").alias("c")).where("n > 1")
+    held = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("a"), F.min("node").alias("b"), F.max("node").alias("c")).where("n > 1")
     buckets = held.groupBy("n", "a", "b", "c").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     members = materialise(bands.join(buckets, "bucket"), "members")
     rough = _in_blocks(members.join(nodes.select("node", "signature"), "node").select("bucket", "node", "n", "signature"), "bucket", 2 * block)
@@ -262,12 +284,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rough = connected_components(rough.select("bucket", "low", "high", "node", "second", "signature").mapInArrow(compare, "u long, v long"))
 
-    # Exact: the texts of the nodes in question, once each.
+    # Exact: one text of each of the nodes in question. Repeated rows have equal n-grams, and one stays.
     sizes = rough.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    asked = rough.join(sizes, "root").join(nodes.select("node", "same", "weight"), "node")
-    once = picked.where("t IS NOT NULL").join(asked.select("same").withColumnRenamed("same", "s"), F.col("same") == F.col("s"), "left_semi").groupBy("same").agg(F.first("t").alias("t"))
-    grams = asked.join(once, "same").select("node", "root", "n", "weight", "t").mapInArrow(_with_grams, "node long, root long, n long, weight long, grams binary")
-    units = _in_blocks(grams, "root", block).select("root", "low", "high", "node", "second", "weight", "grams")
+    asked = materialise(rough.join(sizes, "root").join(nodes.select("node", "same", "text_id", "weight"), "node"), "asked")
+    wanted = asked.select("same", F.col("text_id").alias("id"))
+    own = _only(picked.where("t IS NOT NULL"), wanted).select("same", "id", "t").mapInArrow(_with_grams, f"same binary, id {kind}, grams binary")
+    grams = own.groupBy("same", "id").agg(F.min("grams").alias("grams"))
+    units = _in_blocks(asked.join(grams.withColumnRenamed("id", "grams_id"), "same").where(F.col("grams_id").eqNullSafe(F.col("text_id"))), "root", block).select("root", "low", "high", "node", "second", "weight", "grams")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in groups(batches, 3):
@@ -286,8 +309,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = nodes.select("node", "key", "id", "weight").join(classes, "node", "left").join(counted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = known.groupBy("root").agg(F.min("id").alias("class_id"))
     about = known.join(named, "root").select("key", "class_id", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    each = texts.select("key", "same", "n_copies").join(about, "key").select("same", "class_id", "n_links", "n_copies")
-    full = signed.select("id", "same").join(each, "same").select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies", F.col("same").alias("__same"))
+    each = materialise(texts.select("key", "same", "n_copies").join(about, "key").select("same", "class_id", "n_links", "n_copies"), "each")
+    rows = each.agg(F.sum("n_copies")).first()[0] or 0
+    full = join_split(signed.select("id", "same"), each.withColumn("__n", F.col("n_copies")), "same", "__n", rows).select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies", F.col("same").alias("__same"))
     alone = picked.where("t IS NULL").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("binary").alias("__same"))
     return full.unionByName(alone)
 
@@ -297,7 +321,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = docs.columns
     found = jaccard_classes(docs, id_col, text_col, threshold)
     # Rows of null text are classes of their own and all stay.
-    first = found.where(F.col("__same").isNotNull()).groupBy("class_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("void"), F.col(id_col).alias("id"), F.col("__same").alias("same"))).alias("m")).select("m.same", F.col("m.id").alias("__id"))
+    first = found.where(F.col("__same").isNotNull()).groupBy("class_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("void"), F.col(id_col).alias("id"), F.col("__same").alias("same"))).alias("m")).select(F.col("m.same").alias("__of"), F.col("m.id").alias("__id"))
     text = F.col(text_col).cast("string")
-    kept = docs.where(text.isNotNull()).withColumn("__same", F.unhex(F.md5(text))).join(first, (F.col("__same") == F.col("same")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["__same", id_col]).select(*names).unionByName(docs.where(text.isNull()).select(*names))
+    # docs as one struct, whose fields' names meet no others; keys without null, so that one shuffle serves the join and the drop.
+    key = lambda c: F.coalesce(F.concat(F.lit("i"), c.cast("string")), F.lit("n"))
+    first = first.select("__of", key(F.col("__id")).alias("__id"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.unhex(F.md5(text)).alias("__same"), key(F.col(id_col)).alias("__key"))
+    kept = rows.where("__same IS NOT NULL").join(first, (F.col("__same") == F.col("__of")) & (F.col("__key") == F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["__same", "__key"]).unionByName(rows.where("__same IS NULL")).select("__row.*")
