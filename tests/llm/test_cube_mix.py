@@ -90,3 +90,10 @@ def test_edges(spark):
     assert C.mix(docs.limit(0)).count() == 0
     one = spark.createDataFrame([(i, "a b", "s") for i in range(4)], "doc_id long, text string, source string")
     assert sum(r.taken for r in C.mix(one).collect()) == 8
+
+
+def test_kept_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (i % 5), f"s{i % 3}", "x", 1, 2, 3) for i in range(50)], "doc_id long, text string, source string, target string, whole int, part int, __row int")
+    got = C.mix(docs, keep=("text", "target", "whole", "part", "__row"))
+    assert got.columns.count("target") == 1 and dict(got.dtypes)["target"] == "double"
+    assert {(r.whole, r.part, r["__row"]) for r in got.collect()} == {(1, 2, 3)}

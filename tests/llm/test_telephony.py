@@ -31,6 +31,36 @@ def test_adpcm_across_blocks_equals_one_at_a_time():
     assert [slow_adpcm(b.tobytes()) for b in blocks] == got.tolist()
 
 
+def slow_coded(x: list[int]) -> bytes:
+    """One block, sample by sample."""
+    index = next((k for k, s in enumerate(T.STEPS.tolist()) if s >= abs(x[1] - x[0])), 88)
+    out, value, nibbles = bytearray((x[0] & 0xFFFF).to_bytes(2, "little") + bytes([index, 0])), x[0], []
+    for sample in x[1:]:
+        move, step = sample - value, int(T.STEPS[index])
+        code, left, change = (8 if move < 0 else 0), abs(move), step >> 3
+        for bit, part in ((4, step), (2, step >> 1), (1, step >> 2)):
+            if left >= part:
+                code, left, change = code | bit, left - part, change + part
+        value = max(-32768, min(32767, value + (-change if code & 8 else change)))
+        index = max(0, min(88, index + [-1, -1, -1, -1, 2, 4, 6, 8][code & 7]))
+        nibbles.append(code)
+    return bytes(out + bytes(a | b << 4 for a, b in zip(nibbles[::2], nibbles[1::2])))
+
+
+def test_coding_and_feature():
+    rng = np.random.default_rng(8)
+    x = np.cumsum(rng.integers(-3000, 3000, (6, T.SAMPLES)), axis=1).clip(-32768, 32767).astype(np.int16)
+    assert [b.tobytes() for b in T.encode_adpcm(x)] == [slow_coded(r.tolist()) for r in x]
+    for data in (bytes(64), bytes(range(256)) * 2):
+        mu = [int(T.MU[b]) for b in data]
+        padded = mu + [0] * (-len(mu) % T.SAMPLES)
+        ima = [v for k in range(0, len(padded), T.SAMPLES) for v in slow_adpcm(slow_coded(padded[k : k + T.SAMPLES]))][: len(mu)]
+        loud = lambda v: f"{max(map(abs, v))}/{sum(a * a for a in v) // len(v)}/{sum((a < 0) != (b < 0) for a, b in zip(v, v[1:]))}"
+        pcm = T.wave(T.PCM, 16000, 16, T.upsample(np.array(mu, np.int16)).astype("<i2").tobytes())
+        want = f"mu={loud(mu)};a={loud([int(T.A[b]) for b in data])};ima={loud(ima)}:{zlib.crc32(np.array(ima, '<i2').tobytes()):08x};pcm=16000:{len(pcm)}:{zlib.crc32(pcm):08x}"
+        assert T.features(data, T.through_adpcm([np.array(mu, np.int16)])[0]) == (want, pcm)
+
+
 def test_tables_have_the_published_ends():
     assert T.MU[0x00] == -32124 and T.MU[0x80] == 32124 and T.MU[0xFF] == 0 and T.MU[0x7F] == 0
     assert T.A[0xD5] == 8 and T.A[0x55] == -8 and T.A[0xAA] == 32256 and T.A[0x2A] == -32256

@@ -15,9 +15,10 @@ from collections.abc import Iterator, Sequence
 from itertools import product
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.operators.corpus import running_before
 from tracequarry.plans.shared import materialise
 
 WEIGHTS = (1, 2, 3)
@@ -133,9 +134,10 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, cap: float = C
     Weights repeat over the places and share the sum of all sizes; a target stops at cap times its source's size and
     the excess goes to the others by weight, until none is above. Each round brings four numbers to the driver.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    # Numbered in ranges, as there may be a source for every host of a crawl.
+    placed = running_before(sources.withColumns({"__all": F.lit(0), "__none": F.col("source").isNull()}), "__all", ["__none", "source"], F.lit(1), "source_no").drop("__all", "__none")
     numbered = materialise(
-        sources.withColumn("source_no", place.cast("long")).withColumn("w", F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.col("source_no") % len(weights)).cast("int"))).withColumn("most", cap * F.col("source_size")), "mix_sources"
+        placed.withColumn("source_no", F.col("source_no").cast("long")).withColumn("w", F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.col("source_no") % len(weights)).cast("int"))).withColumn("most", cap * F.col("source_size")), "mix_sources"
     )
     total, share, full = None, 0.0, -1
     while True:
@@ -163,11 +165,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     from hashes of id and size, so reruns agree; equal rows may have different copies. A null text has size 0, a
     null source is a source of its own (last), null and repeated ids are ids like others. A source without a word
     has target 0 and is not taken.
-    Only ids, sizes and sources are shuffled; a large source is dealt over many blocks.
+    keep's columns that are named like those below give way to them. Of a very long text only the size matters.
+    Only ids, sizes and sources (and what keep names) are shuffled; a large source is dealt over many blocks.
     """
-    names = [c for c in dict.fromkeys((*keep, id_col)) if c not in ("__row", "__source", "__size", "__key")]
-    sized = docs.select(*(F.col(c) for c in names), F.col(source_col).alias("__source"), size_of(F.col(text_col).cast("string")).alias("__size"))
-    sized = materialise(sized.withColumn("__key", F.xxhash64(F.col(id_col), "__size")).withColumn("__row", F.monotonically_increasing_id()), "mix_sized")
+    own = ("size", "source_size", "target", "copies", "taken")
+    names = [c for c in dict.fromkeys((*keep, id_col)) if c not in own]
+    # What is kept goes along as one struct, whose fields' names meet no others.
+    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__kept"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size_of(F.col(text_col).cast("string")).alias("__size"))
+    sized = materialise(sized.withColumn("__key", F.xxhash64("__id", "__size")).withColumn("__row", F.monotonically_increasing_id()), "mix_sized")
     sources = sized.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     counted = targets(sources.select("source", "source_size"), weights, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -195,4 +200,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     done = units.join(chosen.select(F.col("row").alias("__chosen"), F.col("p").cast("int").alias("extra")), F.col("__row") == F.col("__chosen"), "left")
     copies = F.col("whole") + F.coalesce(F.col("extra"), F.lit(0))
     source = [] if source_col in names else [F.col("__source").alias(source_col)]
-    return done.select(*names, *source, F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (F.col("__size") * copies).alias("taken"))
+    return done.select(*(F.col("__kept").getField(c).alias(c) for c in names), *source, F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (F.col("__size") * copies).alias("taken"))

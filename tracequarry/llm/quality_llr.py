@@ -12,16 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm._sample import lowest_hash
 from tracequarry.llm._text import SPACE, Prefix, mix, per_text, row_ids, shingles, slices, text_buffer, words
 
 BUCKETS = 1 << 16  # of words, and as many again of pairs
-#: At most so many trusted documents make the target, those of lowest hash of their id.
-TARGET_ROWS = 20_000
 #: Mean log ratio (nats an n-gram) below which a document goes.
 THRESHOLD = -0.27
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -84,30 +80,36 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, first
     }
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS) -> np.ndarray:
-    """log(target / raw) of every bucket, both smoothed by one count a bucket.
-
-    trusted: a table with id_col, of documents known to be good; of more than target_rows, those of lowest hash
-    count. Raw counts cover all documents. What reaches the driver is one row a bucket and the ids of the target.
-    """
-    ids = lowest_hash(trusted.select(id_col).dropna().withColumn("one", F.lit(1)), id_col, "one", target_rows).select(id_col).toArrow().column(0).combine_chunks()
+def _counts(texts: DataFrame) -> DataFrame:
+    """bucket and n over all texts (one column)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+        total = np.zeros(2 * BUCKETS, np.int64)
         for batch in batches:
-            offsets, data = text_buffer(batch.column(1))
-            good = pc.fill_null(pc.is_in(batch.column(0), value_set=ids), False).to_numpy(zero_copy_only=False)
+            offsets, data = text_buffer(batch.column(0))
             for lo, hi in slices(offsets):
-                buckets, text_of, *_ = _grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                raw += np.bincount(buckets, minlength=2 * BUCKETS)
-                target += np.bincount(buckets[good[lo:hi][text_of]], minlength=2 * BUCKETS)
-        some = np.flatnonzero(raw)
+                buckets, *_ = _grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                total += np.bincount(buckets, minlength=2 * BUCKETS)
+        some = np.flatnonzero(total)
         for k in range(0, len(some), 10_000):
             at = some[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    return texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
-    counts = docs.select(id_col, docs[text_col].cast("string").alias("__text")).mapInArrow(count, "bucket long, raw long, target long")
-    found = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """log(target / raw) of every bucket, both smoothed by one count a bucket.
+
+    trusted: a table with id_col, of documents known to be good; all of them count for the target, and all documents
+    for the raw law. What reaches the driver is one row a bucket and law. The trusted ids are broadcast where the
+    planner finds them small; else they and the texts meet by a shuffle.
+    """
+    text = docs[text_col].cast("string").alias("__text")
+    ids = trusted.select(F.col(id_col).alias("__id")).dropna().distinct()
+    good = docs.select(F.col(id_col).alias("__key"), text).join(ids, F.col("__key") == F.col("__id"), "left_semi").select("__text")
+    both = _counts(docs.select(text)).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("target")).unionByName(_counts(good).select("bucket", F.lit(0).cast("long").alias("raw"), F.col("n").alias("target")))
+    found = both.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.ones(2 * BUCKETS), np.ones(2 * BUCKETS)
     at = found["bucket"].to_numpy(np.int64)
     raw[at] += found["raw"].to_numpy(float)
@@ -115,21 +117,22 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     out = np.empty(2 * BUCKETS)
     for half in (slice(0, BUCKETS), slice(BUCKETS, None)):
         # Nothing trusted, nothing known: the ratio is 1 and the base rules alone decide.
-        out[half] = np.log(target[half] / target[half].sum()) - np.log(raw[half] / raw[half].sum()) if len(ids) and target[half].sum() > BUCKETS else 0.0
+        out[half] = np.log(target[half] / target[half].sum()) - np.log(raw[half] / raw[half].sum()) if target[half].sum() > BUCKETS else 0.0
     return out
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target_rows: int = TARGET_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Base counts, length-normalised log-likelihood ratio and verdict of every whole text.
 
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed (fewer than
     10 words, or over 20 % of the words in repeated 5-word windows), llr double (0 for a text without words) and
     kept (base passed and llr at or above the threshold). A null text counts as empty and fails the base; a null
     id is never trusted. Every row gives one row, repeated rows too; other columns are ignored.
-    Two passes over the texts, the first reduced to one row a bucket; no text is shuffled.
+    Very long texts are handled alone, in memory of some twenty times their length. Three passes over the texts (one
+    of them over the trusted), all but the last reduced to one row a bucket; nothing but the trusted is ever shuffled.
     """
     kind = dict(docs.dtypes)[id_col]
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, trusted, id_col, text_col, target_rows).astype(np.float32))
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, trusted, id_col, text_col).astype(np.float32))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

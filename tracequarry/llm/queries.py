@@ -38,7 +38,7 @@ def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.store_telephony(table(spark, sf_dir, "documents"))
+    return telephony.store_telephony(table(spark, sf_dir, "documents"), keep_files=True).drop("media")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

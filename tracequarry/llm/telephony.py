@@ -2,8 +2,8 @@
 
 A payload of 8-bit telephony samples is kept in a RIFF/WAVE file (format 7, mu-law, mono, 8 kHz), which
 holds it losslessly. Reading it back gives the samples, which are expanded by table; the same bytes can be
-read as A-law samples or as IMA ADPCM blocks. Expanded sound is resampled to twice its rate and stored as
-16-bit PCM. All arithmetic is on integers, so equal payloads give equal results everywhere.
+read as A-law samples. The expanded sound is also coded as IMA ADPCM blocks, which are decoded again, and it is
+resampled to twice its rate and stored as 16-bit PCM. All arithmetic is on integers, so equal payloads give equal results everywhere.
 """
 
 from __future__ import annotations
@@ -83,6 +83,38 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
+SAMPLES = 2 * (UNIT - 4) + 1  # samples of an ADPCM block
+
+
+def encode_adpcm(samples: np.ndarray) -> np.ndarray:
+    """IMA ADPCM, mono: int16 (n, SAMPLES) to uint8 (n, UNIT) blocks.
+
+    Blocks stand alone: each begins with the step nearest above its first move, so all are coded side by side.
+    """
+    n = len(samples)
+    turned = np.ascontiguousarray(samples.T).astype(np.int32)
+    out = np.zeros((UNIT, n), np.uint8)
+    value = turned[0].copy()
+    first = np.minimum(np.searchsorted(STEPS, np.abs(turned[1] - turned[0])), len(STEPS) - 1).astype(np.int32)
+    out[0], out[1], out[2] = value & 0xFF, (value >> 8) & 0xFF, first
+    state = first * 16
+    for k in range(1, SAMPLES):
+        move = turned[k] - value
+        left, step = np.abs(move), STEPS.take(state >> 4)
+        nibble = np.where(move < 0, 8, 0).astype(np.int32)
+        for bit in (4, 2, 1):
+            high = left >= step
+            nibble += bit * high
+            left -= step * high
+            step = step >> 1
+        at = state + nibble
+        value += CHANGE.take(at)
+        np.clip(value, -32768, 32767, out=value)
+        state = FOLLOWING.take(at)
+        out[4 + (k - 1) // 2] |= (nibble << (4 * ((k - 1) % 2))).astype(np.uint8)
+    return out.T
+
+
 def upsample(samples: np.ndarray) -> np.ndarray:
     """int16 at a rate to int16 at twice the rate; the given samples stay, each gap gets a filtered value."""
     n = len(samples)
@@ -134,14 +166,24 @@ def _loudness(x: np.ndarray) -> str:
 
 
 def features(data: bytes, adpcm: np.ndarray, rate: int = RATE) -> tuple[str, bytes]:
-    """peak/mean square/zero crossings of each reading, CRC-32 of the ADPCM reading and of the stored PCM; the PCM file."""
+    """peak/mean square/zero crossings of each reading, CRC-32 of the decoded ADPCM and of the stored PCM; the PCM file."""
     raw = np.frombuffer(data, np.uint8)
     mu, a = MU[raw], A[raw]
     pcm = wave(PCM, 2 * rate, 16, upsample(mu).astype("<i2").tobytes())
-    adpcm = np.ascontiguousarray(adpcm).ravel()
     return f"mu={_loudness(mu)};a={_loudness(a)};ima={_loudness(adpcm)}:{zlib.crc32(adpcm.astype('<i2').tobytes()):08x};pcm={2 * rate}:{len(pcm)}:{zlib.crc32(pcm):08x}", pcm
 
 
+def through_adpcm(sounds: list[np.ndarray]) -> list[np.ndarray]:
+    """Each sound coded in ADPCM blocks and decoded again; blocks of all are handled together, a bounded number at a time."""
+    counts = [-(-len(x) // SAMPLES) for x in sounds]
+    flat = np.zeros((sum(counts), SAMPLES), np.int16)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    for x, k in zip(sounds, at):
+        flat.reshape(-1)[k * SAMPLES : k * SAMPLES + len(x)] = x
+    back = np.concatenate([decode_adpcm(encode_adpcm(flat[k : k + 8192])) for k in range(0, len(flat), 8192)]) if len(flat) else flat
+    return [np.ascontiguousarray(back[lo:hi]).ravel()[: len(x)] for x, lo, hi in zip(sounds, at, at[1:])]
+
+
 MEDIA_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -167,11 +209,8 @@ def store_telephony(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def _stored(ids: pa.Array, texts: list[bytes], keep: bool) -> pa.RecordBatch:
         media = [wave(MULAW, RATE, 8, payload(t)) for t in texts]
         back = [read_wave(m)[2] for m in media]
-        blocks = np.frombuffer(b"".join(back), np.uint8).reshape(-1, UNIT)
-        counts = np.cumsum([0, *(len(b) // UNIT for b in back)])
-        # Blocks of several texts are decoded together, a bounded number at a time.
-        decoded = np.concatenate([decode_adpcm(blocks[k : k + 8192]) for k in range(0, len(blocks), 8192)])
-        made = [features(b, decoded[counts[i] : counts[i + 1]]) for i, b in enumerate(back)]
+        decoded = through_adpcm([MU[np.frombuffer(b, np.uint8)] for b in back])
+        made = [features(b, d) for b, d in zip(back, decoded)]
         cols = [
             ids, [len(t) for t in texts], [len(b) for b in back], [hashlib.sha256(b).hexdigest() for b in back], [zlib.crc32(b[-UNIT:]) for b in back],
             [len(m) for m in media], [hashlib.sha256(m).hexdigest() for m in media], [f for f, _ in made],

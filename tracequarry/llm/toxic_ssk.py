@@ -253,7 +253,7 @@ def fit(sample: DataFrame) -> Machine | None:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {c for c in tokens(t or "") if len(c) <= LONGEST}
+                own = {w for c in tokens(t or "") for w in windows(c)}
                 # The least hash of a text's chunks stands for it: near copies mostly have the same, and count once.
                 least = min((zlib.crc32(c.encode()) for c in own), default=0)
                 words, stems = sorted(own), sorted({c[:k] for c in own for k in range(P, min(len(c), STEM) + 1) if c[:k].isalnum()})
