@@ -41,10 +41,15 @@ def tidy(stage: Stage) -> Stage:
 
 @tidy
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a recognised language; lang becomes the prediction. Learned from three quarters of the labels."""
+    """Keep documents with a recognised language; lang becomes the prediction. Learned from three quarters of the labels.
+
+    Where there is no label to learn from, no language can be told from another: all documents stay as they are.
+    """
     import public_tokenizers
 
     attach(spark)
+    if docs.where((remainder(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).isEmpty():
+        return docs.select(*COLUMNS)
     found = lang_unigram.identify(docs, docs.where(remainder(4) != 2), public_tokenizers.path(PIECES), others=("source", "n_chars"), keep_text=True)
     return found.where((F.col("lang_pred") != lang_unigram.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key with more rows than this share of all, and than LEAST, is joined by broadcast: there are at most 1 / SHARE of them.
-SHARE, LEAST = 0.001, 1000
+SHARE, LEAST = 0.001, 100
 
 
 def join_split(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
