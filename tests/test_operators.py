@@ -200,3 +200,23 @@ def test_directed_jumps(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
     ranks = {r.node: r["rank"] for r in graph.pagerank(edges, personal=spark.createDataFrame([("d", 1.0)], "node string, weight double")).collect()}
     assert abs(sum(ranks.values()) - 1) < 1e-6 and abs(ranks["d"] - 0.15) < 1e-6
+
+
+def test_recursive_split():
+    text = "Para one. " * 30 + "\n\n" + "Second line\n" * 20 + "x" * 250
+    for size, overlap in ((100, 20), (300, 0), (40, 10)):
+        found = retrieval.split_text(text, size, overlap)
+        assert all(0 < len(c) <= size and c in text for c in found) and found[-1].endswith("x")
+        assert set("".join(found).split()) >= {"Para", "one.", "Second", "line"}
+    assert retrieval.split_text("", 10, 2) == [] and retrieval.split_text("short", 10, 2) == ["short"]
+
+
+def test_stored_trees_and_vectors(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x")], "id long, name string")
+    for as_json in (False, True):
+        sinks.code_tree({"modules": a, "calls": a}, f"{tmp_path}/tree{as_json}", as_json)
+        assert files.code_tree(spark, f"{tmp_path}/tree{as_json}", ("modules", "calls"), as_json)["calls"].count() == 1
+    sinks.vectors(a, f"{tmp_path}/v")
+    assert files.vectors(spark, f"{tmp_path}/v").count() == 1
+    sinks.drop(spark, f"{tmp_path}/v")
+    assert not (tmp_path / "v").exists()

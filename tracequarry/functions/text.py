@@ -223,3 +223,52 @@ def file_kind(c: ColumnLike) -> Column:
     for kind, ends in FILE_KINDS.items():
         out = F.when(end.isin(*ends), kind) if out is None else out.when(end.isin(*ends), kind)
     return out.otherwise("other")
+
+
+def call_text(kind: ColumnLike, name: ColumnLike, owner: ColumnLike, attribute: ColumnLike, full_path: ColumnLike) -> Column:
+    """A call as it is written: name(), owner.attribute() or path()."""
+    k = _c(kind)
+    return F.when(k == "simple", F.concat(_c(name), F.lit("()"))).when(k == "attribute", F.concat(_c(owner), F.lit("."), _c(attribute), F.lit("()"))).when(k == "nested_attribute", F.concat(_c(full_path), F.lit("()"))).otherwise(F.concat(F.lit("Unknown call type: "), k))
+
+
+def doc_text(c: ColumnLike, most: int = 3) -> Column:
+    """A doc string in quotes; of more than `most` lines the first and an ellipsis; none for an empty one."""
+    t = F.coalesce(_c(c), F.lit(""))
+    lines = F.split(t, "\n")
+    return F.when(t == "", "").when(F.size(lines) > most, F.concat(F.lit("'''\n"), F.get(lines, F.lit(0)), F.lit("\n...\n'''"))).otherwise(F.concat(F.lit("'''"), t, F.lit("'''")))
+
+
+def clean_result(c: ColumnLike, most: int = 4000) -> Column:
+    """The output of a run without the installer's noise, cut in the middle to `most` tokens."""
+    return head_tail_cut(filter_installer_log(c), most)
+
+
+def dialogue(c: ColumnLike) -> Column:
+    """array(struct(role, content)) of the list in an answer, from the first [ to the last ]; numbers become text. Null if a part lacks either."""
+    t = _c(c)
+    body = F.regexp_extract(t, r"(?s)\[.*\]", 0)
+    rows = F.from_json(F.when(body != "", body), "array<struct<role:string,content:string>>", {"mode": "PERMISSIVE"})
+    whole = F.forall(rows, lambda r: r["role"].isNotNull() & r["content"].isNotNull())
+    return F.when(whole, rows)
+
+
+def imports_of(c: ColumnLike) -> Column:
+    """Sorted modules of the import statements that begin lines."""
+    t = _c(c)
+    plain = F.regexp_extract_all(t, F.lit(r"(?m)^\s*import\s+([a-zA-Z0-9_\.]+)"), F.lit(1))
+    origin = F.regexp_extract_all(t, F.lit(r"(?m)^\s*from\s+([a-zA-Z0-9_\.]+)\s+import\s+"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.concat(plain, origin)))
+
+
+def optional_query(c: ColumnLike) -> Column:
+    """Whether an optional query is valid: absent or not blank."""
+    return _c(c).isNull() | (F.trim(_c(c)) != "")
+
+
+def today() -> Column:
+    return F.date_format(F.current_date(), "yyyy-MM-dd")
+
+
+def random_id(length: int) -> Column:
+    """Lower-case letters and digits; another one in every row and run."""
+    return F.lower(F.randstr(F.lit(length)))

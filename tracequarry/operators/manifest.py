@@ -109,3 +109,23 @@ def query_pack(query: Column, seeds: Column, error: Column, symptom: Column, nod
     injected = F.transform(own, lambda s: F.when((suffix != "") & ~F.lower(query_text(s)).contains(F.lower(suffix)), query_text(F.concat(query_text(s), F.lit(" "), suffix))).otherwise(query_text(s)))
     made = templates(error, symptom, node, pattern, run, lang, libs)
     return F.struct(own.alias("seed_queries"), dedupe(made).alias("template_queries"), dedupe(injected).alias("constraint_injected_queries"), F.slice(dedupe(F.concat(F.array(first), injected, made, own)), 1, most).alias("retrieval_queries"))
+
+
+def canonical_query(error: Column, symptom: Column, pattern: Column, node: Column, run: Column, libs: Column, dependencies: Column, most_libraries: int = 4, most_tokens: int = 48) -> Column:
+    """One line that names the problem: what to fix, where, the runtime and a few libraries (dependencies where none is given), cut to a number of words."""
+    filled = lambda xs: F.filter(xs, lambda x: F.trim(x) != "")
+    given = F.when(F.size(filled(libs)) > 0, filled(libs)).otherwise(filled(dependencies))
+    named = F.when(F.size(given) > 0, F.concat(F.lit("libraries "), F.array_join(F.slice(given, 1, most_libraries), " ")))
+    parts = F.array(F.lit("fix"), error, symptom, pattern, node, F.concat(F.lit("runtime "), F.coalesce(run, F.lit(""))), named)
+    words = F.filter(F.split(F.array_join(F.transform(filled(F.array_compact(parts)), F.trim), " "), r"\s+"), lambda w: w != "")
+    return F.array_join(F.slice(words, 1, most_tokens), " ")
+
+
+def brief(error: Column, symptom: Column, node: Column, path: Column, pattern: Column, dependencies: Column, excerpt: Column, query: Column, queries: Column, run: Column, lang: Column, libs: Column, pack: Column) -> Column:
+    """What of a manifest goes to a prompt: its parts, and the first retrieval and template queries of its pack."""
+    return F.struct(
+        F.struct(error.alias("error_type"), symptom.alias("symptom"), node.alias("failing_node")).alias("problem_domain"),
+        F.struct(path.alias("filepath"), pattern.alias("architecture_pattern"), dependencies.alias("dependencies"), excerpt.alias("primary_slice_excerpt")).alias("codebase_context"),
+        F.struct(query.alias("query"), queries.alias("queries"), run.alias("runtime"), lang.alias("language"), libs.alias("required_libraries")).alias("search_intent"),
+        F.struct(F.slice(pack["retrieval_queries"], 1, 8).alias("retrieval_queries"), F.slice(pack["template_queries"], 1, 6).alias("template_queries")).alias("query_pack_preview"),
+    )

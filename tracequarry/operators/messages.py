@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tracequarry.functions.text import code_blocks
 
 
 def by_turn() -> WindowSpec:
@@ -277,3 +278,55 @@ def convert_function_call(messages: DataFrame, index: int) -> DataFrame:
         "tool_calls": F.when(at, calls_now).otherwise(F.col("tool_calls")), "tool_responses": F.when(at & (F.size("__told") > 0), more).otherwise(F.col("tool_responses")), "function_call": F.when(~at, F.col("function_call")),
         "role": F.when(F.col("__reply"), "tool").otherwise(F.col("role")), "name": F.when(~F.col("__reply"), F.col("name")), "tool_call_id": F.when(F.col("__reply"), F.col("__id")).otherwise(F.col("tool_call_id")),
     }).drop("__name", "__id", "__reply", "__told")
+
+
+def add_function_call(messages: DataFrame, index: int, name: str, arguments: str) -> DataFrame:
+    """Give a message of every conversation a function call; it becomes the assistant's."""
+    at = F.col("turn") == index
+    call = F.struct(F.lit(name).alias("name"), F.lit(arguments).alias("arguments"))
+    return messages.withColumns({"role": F.when(at, "assistant").otherwise(F.col("role")), "function_call": F.when(at, call).otherwise(F.col("function_call"))})
+
+
+def add_function_response(messages: DataFrame, name: str, content: str) -> DataFrame:
+    """A function row after the first message that calls the function; conversations without such a call stay."""
+    first = messages.where(F.col("function_call.name") == name).groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    new = first.select("conv_id", (F.col("turn") + 0.5).alias("turn"), F.lit("function").alias("role"), F.lit(name).alias("name"), F.lit(content).alias("content"))
+    return renumbered(messages.withColumn("turn", F.col("turn").cast("double")).unionByName(new, allowMissingColumns=True))
+
+
+def update_tool_call(messages: DataFrame, updates: DataFrame) -> DataFrame:
+    """updates (conv_id, id, name, arguments): the first call with the id gets name and arguments and keeps the id."""
+    placed = calls(messages).groupBy("conv_id", "id").agg(F.min("turn").alias("turn")).join(updates, ["conv_id", "id"])
+    per = placed.groupBy("conv_id", "turn").agg(F.collect_list(F.struct("id", "name", "arguments")).alias("__new"))
+    fresh = messages.join(per, ["conv_id", "turn"], "left")
+
+    def put(c: Column, i: Column) -> Column:
+        mine = F.get(F.filter("__new", lambda n: n["id"] == c["id"]), F.lit(0))
+        repeated = F.exists(F.slice("tool_calls", F.lit(1), i), lambda x: x["id"] == c["id"])
+        return F.when(mine.isNotNull() & ~repeated, F.struct(c["id"].alias("id"), mine["name"].alias("name"), mine["arguments"].alias("arguments"))).otherwise(c)
+
+    return fresh.withColumn("tool_calls", F.when(F.col("__new").isNotNull(), F.transform("tool_calls", put)).otherwise(F.col("tool_calls"))).drop("__new")
+
+
+def update_function_response(messages: DataFrame, name: str, content: str) -> DataFrame:
+    own = F.coalesce((F.col("role") == "function") & (F.col("name") == name), F.lit(False))
+    return messages.withColumn("content", F.when(own, F.lit(content)).otherwise(F.col("content")))
+
+
+def delete_function_response(messages: DataFrame, name: str) -> DataFrame:
+    return renumbered(messages.where(~F.coalesce((F.col("role") == "function") & (F.col("name") == name), F.lit(False))))
+
+
+def without_calls_beside_code(messages: DataFrame) -> DataFrame:
+    """Tool calls of a message go where its content has code that can be run."""
+    return messages.withColumn("tool_calls", F.when(code_blocks("content").isNull(), F.col("tool_calls")))
+
+
+def history_page(messages: DataFrame, last: int = 6, most: int = 100) -> DataFrame:
+    """conv_id, the last messages in a numbered list with their contents cut, and how many come before."""
+    back = messages.withColumns({"__back": F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))), "__n": F.count(F.lit(1)).over(whole())}).where(F.col("__back") <= last)
+    no = F.least(F.col("__n"), F.lit(last)) - F.col("__back") + 1
+    content = F.coalesce("content", F.lit(""))
+    shown = F.concat(no.cast("string"), F.lit(". "), F.initcap("role"), F.lit(": "), F.when(F.length(content) > most, F.concat(F.substring(content, 1, most), F.lit("..."))).otherwise(content))
+    rows = F.array_sort(F.collect_list(F.struct("turn", shown.alias("shown"))))
+    return back.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["shown"]), "\n").alias("page"), F.greatest(F.first("__n") - last, F.lit(0)).cast("long").alias("earlier"))

@@ -60,3 +60,47 @@ def dedupe_commands(commands: DataFrame, group: str = "task", order: str = "pos"
     ran = first.where("file IS NOT NULL").select(group, F.concat_ws(" ", "language", "file").alias("text"), F.col(order).alias("since"))
     kept = first.join(ran, [group, "text"], "left").where(F.col("file").isNotNull() | F.col("since").isNull() | (F.col("since") > F.col(order)))
     return kept.select(group, order, "language", "command")
+
+
+def fallback_score(is_key: Column, n_classes: Column, n_functions: Column, documented: Column, n_lines: Column) -> Column:
+    """A module's importance without a graph: key components, classes, functions, documentation, size."""
+    return is_key * 1.0 + n_classes * 0.3 + n_functions * 0.2 + F.when(documented, 0.2).otherwise(0.0) + F.least(F.coalesce(n_lines, F.lit(0)) / 1000, F.lit(1.0)) * 0.3
+
+
+def fallback_packages(nodes: DataFrame) -> DataFrame:
+    """nodes (id, parent, depth, score: null for packages) with a package's score half the sum of its children's, level by level from the deepest."""
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    done = nodes.where("score IS NOT NULL").select("id", "parent", "depth", "score")
+    for depth in range(deepest, -1, -1):
+        below = done.where(F.col("depth") == depth + 1).groupBy(F.col("parent").alias("id")).agg((F.sum("score") * 0.5).alias("half"))
+        level = nodes.where(F.col("score").isNull() & (F.col("depth") == depth)).join(below, "id", "left")
+        done = done.unionByName(level.select("id", "parent", "depth", F.coalesce("half", F.lit(0.0)).alias("score")))
+    return done
+
+
+def node_score(kind: Column, module: Column, package: Column) -> Column:
+    """The score of a node by its kind; 0 for any other."""
+    return F.when(kind == "module", module).when(kind == "package", package).otherwise(0.0)
+
+
+def key_component_score(nodes: DataFrame, components: DataFrame) -> DataFrame:
+    """nodes (id) with score: 1.0 if a component (pos, id, module) has the id, 0.8 if one lies in it, by the first that fits."""
+    hits = components.select(F.col("id").alias("node"), "pos", F.lit(1.0).alias("s")).unionByName(components.where("module <> id").select(F.col("module").alias("node"), "pos", F.lit(0.8).alias("s")))
+    first = hits.groupBy("node").agg(F.min_by("s", "pos").alias("score"))
+    return nodes.join(first, F.col("id") == F.col("node"), "left").select(*nodes.columns, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def data_first(path: Column) -> Column:
+    """Sort key of a listing: documents, pictures and tables before all others."""
+    return ~F.lower(F.regexp_extract(path, r"\.([^.]*)$", 1)).isin("png", "jpg", "jpeg", "gif", "bmp", "webp", "svg", "pdf", "csv", "xlsx", "json")
+
+
+def inefficient(score: Column) -> Column:
+    """Whether an evaluation's score marks a run that works but wastes."""
+    return score.between(0.6, 0.75)
+
+
+def spec_violations(non_goals: Column, must_have: Column, metrics: Column) -> Column:
+    """What is wrong with a problem specification: no non-goals, a vague must-have, a metric without a number."""
+    vague = F.exists(must_have, lambda m: F.lower(m).rlike(r"\b(better|good|nice|improve|fast|easy)\b") & ~m.rlike("[0-9]"))
+    return F.array_compact(F.array(F.when(F.size(non_goals) < 1, "nonGoals"), F.when(vague, "mustHave"), F.when(F.exists(metrics, lambda m: ~m.rlike("[0-9]")), "metrics")))

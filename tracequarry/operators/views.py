@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracequarry.functions.paths import ignored_in_repository
+from tracequarry.functions.text import head_tail_cut, module_id
+
 
 def find_entity(entities: DataFrame, key: str, most: int = 5, id_col: str = "id") -> DataFrame:
     """Exact id, else ids that end with or hold the key; kind says hit, choice (up to `most`) or many (the first ones)."""
@@ -177,3 +180,25 @@ def outlines(files: DataFrame, path_col: str = "path", text_col: str = "content"
             yield pd.DataFrame({"path": pdf["p"], "outline": [outline(t or "") for t in pdf["t"]], "over": [len(t or "") > 4 * budget for t in pdf["t"]]})
 
     return files.select(F.col(path_col).alias("p"), F.col(text_col).alias("t")).mapInPandas(run, "path string, outline string, over boolean")
+
+
+def resolved_paths(asked: DataFrame, modules: DataFrame, files: DataFrame) -> DataFrame:
+    """asked (path) with kind and key: the module (id) that the path names, with or without its suffix, else the file (path), else none."""
+    named = asked.withColumn("__id", module_id("path"))
+    found = named.join(modules.select(F.col("id").alias("__module")), F.col("__id") == F.col("__module"), "left").join(files.select(F.col("path").alias("__file")), F.col("path") == F.col("__file"), "left")
+    kind = F.when(F.col("__module").isNotNull(), "module").when(F.col("__file").isNotNull(), "file").otherwise("none")
+    return found.select("path", kind.alias("kind"), F.coalesce("__module", "__file").alias("key"))
+
+
+def file_contents(files: DataFrame, code_tokens: int = 8000, other_tokens: int = 4000) -> DataFrame:
+    """files (path, content) as they are shown: ignored paths say so, code and other files are cut in the middle, each to its own length."""
+    cut = F.when(F.lower("path").endswith(".py"), head_tail_cut("content", code_tokens)).otherwise(head_tail_cut("content", other_tokens))
+    return files.select("path", F.when(ignored_in_repository(F.col("path")), F.lit("ignored")).otherwise(cut).alias("shown"))
+
+
+def structure(classes: DataFrame, functions: DataFrame) -> DataFrame:
+    """module and outline: its classes (module, name, line) with their methods, and its functions (module, owner: null outside classes, name, line), in order of lines."""
+    own = functions.where("owner IS NOT NULL").groupBy("module", F.col("owner").alias("name")).agg(F.array_sort(F.collect_list(F.struct("line", F.concat(F.lit("    def "), "name").alias("t")))).alias("ms"))
+    heads = classes.join(own, ["module", "name"], "left").select("module", "line", F.array_join(F.concat(F.array(F.concat(F.lit("class "), "name")), F.coalesce(F.transform("ms", lambda m: m["t"]), F.expr("cast(array() AS array<string>)"))), "\n").alias("t"))
+    free = functions.where("owner IS NULL").select("module", "line", F.concat(F.lit("def "), "name").alias("t"))
+    return heads.unionByName(free).groupBy("module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n").alias("outline"))

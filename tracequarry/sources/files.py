@@ -120,3 +120,19 @@ def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     pattern = F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>')
     pairs = F.arrays_zip(F.regexp_extract_all(html_col, pattern, F.lit(1)).alias("href"), F.regexp_extract_all(html_col, pattern, F.lit(2)).alias("text"))
     return pages.select(id_col, F.posexplode(pairs).alias("pos", "l")).select(id_col, "pos", F.col("l.href").alias("href"), F.regexp_replace("l.text", "<[^>]*>", "").alias("text"))
+
+
+def vectors(spark: SparkSession, path: str) -> DataFrame:
+    """A stored vector table."""
+    return spark.read.parquet(path)
+
+
+def code_tree(spark: SparkSession, path: str, names: tuple[str, ...], as_json: bool = False) -> dict[str, DataFrame]:
+    return {name: (spark.read.json if as_json else spark.read.parquet)(f"{path}/{name}") for name in names}
+
+
+def crawled(pages: DataFrame, id_col: str = "page_id", most: int = 20_000) -> DataFrame:
+    """Results of a crawl (id_col, url, html, error): success, lengths, links and the text cut to `most` characters."""
+    text, ok = html_text(F.col("html")), F.col("error").isNull()
+    hrefs = F.size(F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"'), F.lit(1)))
+    return pages.select(id_col, "url", ok.alias("success"), "error", F.when(ok, F.length("html")).alias("html_chars"), F.when(ok, hrefs).alias("n_links"), F.when(ok, F.substring(text, 1, most)).alias("content"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STATUS, PRIORITY = ("pending", "in_progress", "completed"), ("high", "medium", "low")
@@ -46,3 +46,16 @@ def todos(df: DataFrame, path: str) -> None:
 
 def vectors(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").parquet(path)
+
+
+def code_tree(tables: dict[str, DataFrame], path: str, as_json: bool = False) -> None:
+    """Every table of a code tree below one folder."""
+    for name, df in tables.items():
+        writer = df.write.mode("overwrite")
+        writer.json(f"{path}/{name}") if as_json else writer.parquet(f"{path}/{name}")
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a stored table (a vector store) with its folder; nothing happens where none is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
