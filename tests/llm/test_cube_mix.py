@@ -97,3 +97,9 @@ def test_kept_columns_may_have_any_name(spark):
     got = C.mix(docs, keep=("text", "target", "whole", "part", "__row"))
     assert got.columns.count("target") == 1 and dict(got.dtypes)["target"] == "double"
     assert {(r.whole, r.part, r["__row"]) for r in got.collect()} == {(1, 2, 3)}
+
+
+def test_decisions_by_broadcast_and_by_shuffle(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (i % 7), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string").repartition(4, "doc_id")
+    one, two = (sorted((r.doc_id, r.copies, r.text) for r in C.mix(docs, keep=("text",), marked=m).collect()) for m in (C.MARKED, 0))
+    assert one == two and {c for _, c, _ in one} > {0}

@@ -24,6 +24,8 @@ from tracequarry.plans.shared import materialise
 WEIGHTS = (1, 2, 3)
 CAP = 3.0
 BLOCK = 4096  # documents flown by one walk
+#: Up to so many documents the decisions, 63 to a number, are broadcast (64 MB at most), and what is kept stays where it is; beyond, both meet by a shuffle.
+MARKED = 1 << 28
 _MASK = (1 << 64) - 1
 
 
@@ -157,7 +159,7 @@ def size_of(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, cap: float = CAP, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, cap: float = CAP, block: int = BLOCK, keep: tuple[str, ...] = (), marked: int = MARKED) -> DataFrame:
     """Decide how often every document is taken so that each source comes near its target.
 
     Returns keep, id_col, source_col, size (words), source_size, target (its source's, double), copies int and
@@ -166,7 +168,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     null source is a source of its own (last), null and repeated ids are ids like others. A source without a word
     has target 0 and is not taken.
     keep's columns that are named like those below give way to them. Of a very long text only the size matters.
-    Only ids, sizes and sources (and what keep names) are shuffled; a large source is dealt over many blocks.
+    Only ids, sizes and sources are shuffled, above `marked` documents also what keep names; a large source is dealt over many blocks.
     """
     own = ("size", "source_size", "target", "copies", "taken")
     names = [c for c in dict.fromkeys((*keep, id_col)) if c not in own]
@@ -197,7 +199,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     chosen = decided[0]
     for d in decided[1:]:
         chosen = chosen.unionByName(d)
-    done = units.join(chosen.select(F.col("row").alias("__chosen"), F.col("p").cast("int").alias("extra")), F.col("__row") == F.col("__chosen"), "left")
+    taken = chosen.where("p = 1").select("row")
+    if sized.count() <= marked:
+        word = F.expr("row div 63")
+        words = taken.groupBy(word.alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(row % 63 AS int))")).alias("__bits"))
+        done = units.withColumn("__place", F.expr("__row div 63")).join(F.broadcast(words), F.col("__place") == F.col("__word"), "left").withColumn("extra", F.expr("cast(shiftright(__bits, cast(__row % 63 AS int)) & 1 AS int)"))
+    else:
+        done = units.join(taken.select(F.col("row").alias("__chosen"), F.lit(1).alias("extra")), F.col("__row") == F.col("__chosen"), "left")
     copies = F.col("whole") + F.coalesce(F.col("extra"), F.lit(0))
     source = [] if source_col in names else [F.col("__source").alias(source_col)]
     return done.select(*(F.col("__kept").getField(c).alias(c) for c in names), *source, F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (F.col("__size") * copies).alias("taken"))
