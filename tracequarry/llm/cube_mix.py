@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.llm._text import lean
 from tracequarry.operators.corpus import running_before
 from tracequarry.plans.shared import materialise
 
@@ -127,7 +128,7 @@ def _fly(units: DataFrame, last: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ps, pa.float64())], names=["row", "p"])
 
     ordered = units.repartition("source_no", "block").sortWithinPartitions("source_no", "block", "key", "size")
-    return ordered.select(*(x.split()[0] for x in FIELDS.split(", "))).mapInArrow(run, "row long, p double")
+    return ordered.select(*(x.split()[0] for x in FIELDS.split(", "))).mapInArrow(lean(run), "row long, p double")
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, cap: float = CAP) -> DataFrame:

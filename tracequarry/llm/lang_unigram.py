@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.llm._sample import lowest_hash
-from tracequarry.llm._text import Prefix, resident, row_ids, slices, text_buffer, words
+from tracequarry.llm._text import Prefix, lean, resident, row_ids, slices, text_buffer, words
 from tracequarry.plans.shared import materialise
 
 START = "▁"
@@ -186,7 +186,7 @@ def fit(path: str, counted: DataFrame, rounds: int = ROUNDS) -> tuple[list[str],
                 piece, g = np.nonzero(uses)
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(piece, pa.int32()), pa.array(uses[piece, g])], names=["g", "piece", "n"])
 
-        found = counted.select("lang", "w", "count").mapInArrow(run, "g int, piece int, n double").groupBy("g", "piece").agg(F.sum("n").alias("n")).toPandas()
+        found = counted.select("lang", "w", "count").mapInArrow(lean(run, tables=True), "g int, piece int, n double").groupBy("g", "piece").agg(F.sum("n").alias("n")).toPandas()
         n = np.zeros(p.shape)
         n[found["piece"].to_numpy(), found["g"].to_numpy()] = found["n"].to_numpy()
         p = (n + 1e-3) / (n + 1e-3).sum(axis=0)
@@ -330,7 +330,7 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str, id_col: str
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(passed))), pa.array(pred, pa.string()), pa.array(score)], names=[*passed, "lang_pred", "score"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in passed) + ", lang_pred string, score double"
-    return docs.select(id_col, *others, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(id_col, *others, F.col(text_col).cast("string").alias("__text")).mapInArrow(lean(run, tables=True), schema)
 
 
 LETTERS = np.zeros(256, dtype=bool)

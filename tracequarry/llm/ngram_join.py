@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm._text import Prefix, groups, shingles, slices, text_buffer, words
+from tracequarry.llm._text import Prefix, groups, lean, shingles, slices, text_buffer, words
 from tracequarry.plans.components import connected_components
 from tracequarry.plans.shared import materialise
 from tracequarry.plans.skew import join_split
@@ -256,7 +256,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = least_agreeing(threshold, tolerance)
     text = F.col(text_col).cast("string")
     picked = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("same"), text.alias("t"))
-    signed = materialise(picked.where("t IS NOT NULL").mapInArrow(_signed, f"id {kind}, same binary, key binary, signature binary"), "signed")
+    signed = materialise(picked.where("t IS NOT NULL").mapInArrow(lean(_signed), f"id {kind}, same binary, key binary, signature binary"), "signed")
     # Copies and the least id of each text; a signature moves once, with the first of its n-gram set in a task.
     texts = materialise(signed.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n_copies"), F.min("id").alias("id")), "texts")
     about = texts.groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("id"), F.min(F.struct("same", "id")).alias("text"), F.sum("n_copies").alias("n_rows"))
@@ -282,13 +282,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 found = []
         yield _pairs(found)
 
-    rough = connected_components(rough.select("bucket", "low", "high", "node", "second", "signature").mapInArrow(compare, "u long, v long"))
+    rough = connected_components(rough.select("bucket", "low", "high", "node", "second", "signature").mapInArrow(lean(compare), "u long, v long"))
 
     # Exact: one text of each of the nodes in question. Repeated rows have equal n-grams, and one stays.
     sizes = rough.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     asked = materialise(rough.join(sizes, "root").join(nodes.select("node", "same", "text_id", "weight"), "node"), "asked")
     wanted = asked.select("same", F.col("text_id").alias("id"))
-    own = _only(picked.where("t IS NOT NULL"), wanted).select("same", "id", "t").mapInArrow(_with_grams, f"same binary, id {kind}, grams binary")
+    own = _only(picked.where("t IS NOT NULL"), wanted).select("same", "id", "t").mapInArrow(lean(_with_grams), f"same binary, id {kind}, grams binary")
     grams = own.groupBy("same", "id").agg(F.min("grams").alias("grams"))
     units = _in_blocks(asked.join(grams.withColumnRenamed("id", "grams_id"), "same").where(F.col("grams_id").eqNullSafe(F.col("text_id"))), "root", block).select("root", "low", "high", "node", "second", "weight", "grams")
 
@@ -303,7 +303,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             v = pa.array([None] * len(some) + [int(ids[j]) for _, j in links], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(u), v, pa.array([int(counts[i]) for i in some] + [None] * len(links), pa.int64())], names=["u", "v", "n_links"])
 
-    exact = materialise(units.mapInArrow(verify, "u long, v long, n_links long"), "exact")
+    exact = materialise(units.mapInArrow(lean(verify), "u long, v long, n_links long"), "exact")
     classes = connected_components(exact.where("v IS NOT NULL").select("u", "v"))
     counted = exact.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n_links").alias("others"))
     known = nodes.select("node", "key", "id", "weight").join(classes, "node", "left").join(counted, "node", "left").withColumn("root", F.coalesce("root", "node"))
