@@ -77,3 +77,13 @@ def test_scores(spark):
         assert got[i].kept == (not got[i].base_failed and got[i].llr >= 0)
     again = {r.doc_id: r.llr for r in Q.quality_rules(docs.repartition(7), trusted, threshold=0.0).collect()}
     assert all(again[i] == got[i].llr for i in grams)
+
+
+def test_trusted_texts_by_bits_and_by_shuffle(spark):
+    ids = [-(1 << 63), -65, -64, -1, 0, 62, 63, 64, 127, (1 << 63) - 1, 64, None]
+    docs = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    wanted = {-(1 << 63), -64, -1, 63, 64, (1 << 63) - 1}
+    trusted = spark.createDataFrame([(i,) for i in [*wanted, 64, 999, None]], "doc_id long")
+    for marked in (1000, 0):
+        got = sorted(r[0] for r in Q._trusted_texts(docs, trusted, "doc_id", "text", marked).collect())
+        assert got == sorted(f"t{k}" for k, i in enumerate(ids) if i in wanted)

@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.llm._text import SPACE, Prefix, mix, per_text, row_ids, shingles, slices, text_buffer, words
+from tracequarry.plans.shared import materialise
 
 BUCKETS = 1 << 16  # of words, and as many again of pairs
 #: Mean log ratio (nats an n-gram) below which a document goes.
 THRESHOLD = -0.27
+#: Whole-number ids of trusted documents are broadcast, 64 to a number, up to so many numbers (32 MB).
+MARKED = 1 << 21
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 MIN_WORDS, WINDOW, MOST_REPEATED = 10, 5, 20
@@ -98,16 +101,30 @@ def _counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+def _trusted_texts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, marked: int) -> DataFrame:
+    """The texts (one column) of the rows whose id is in trusted."""
+    text = docs[text_col].cast("string").alias("__text")
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    if dict(docs.dtypes)[id_col] in whole and dict(trusted.dtypes)[id_col] in whole:
+        bits = trusted.select(F.col(id_col).cast("long").alias("i")).dropna().groupBy(F.expr("shiftright(i, 6)").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63L AS int))")).alias("__bits"))
+        # Stored, so its size is known before it is broadcast.
+        bits = materialise(bits, "trusted_ids")
+        if bits.count() <= marked:
+            rows = docs.select(F.col(id_col).cast("long").alias("__key"), text).withColumn("__place", F.expr("shiftright(__key, 6)"))
+            return rows.join(F.broadcast(bits), F.col("__place") == F.col("__word")).where(F.expr("shiftright(__bits, cast(__key & 63L AS int)) & 1L") == 1).select("__text")
+    ids = trusted.select(F.col(id_col).alias("__id")).dropna().distinct()
+    return docs.select(F.col(id_col).alias("__key"), text).join(ids, F.col("__key") == F.col("__id"), "left_semi").select("__text")
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: int = MARKED) -> np.ndarray:
     """log(target / raw) of every bucket, both smoothed by one count a bucket.
 
     trusted: a table with id_col, of documents known to be good; all of them count for the target, and all documents
-    for the raw law. What reaches the driver is one row a bucket and law. The trusted ids are broadcast where the
-    planner finds them small; else they and the texts meet by a shuffle.
+    for the raw law. What reaches the driver is one row a bucket and law. Whole-number ids are broadcast as bits, up
+    to `marked` numbers; beyond that, and for other ids that the planner does not find small, texts move by a shuffle.
     """
     text = docs[text_col].cast("string").alias("__text")
-    ids = trusted.select(F.col(id_col).alias("__id")).dropna().distinct()
-    good = docs.select(F.col(id_col).alias("__key"), text).join(ids, F.col("__key") == F.col("__id"), "left_semi").select("__text")
+    good = _trusted_texts(docs, trusted, id_col, text_col, marked)
     both = _counts(docs.select(text)).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("target")).unionByName(_counts(good).select("bucket", F.lit(0).cast("long").alias("raw"), F.col("n").alias("target")))
     found = both.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.ones(2 * BUCKETS), np.ones(2 * BUCKETS)
@@ -129,7 +146,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     kept (base passed and llr at or above the threshold). A null text counts as empty and fails the base; a null
     id is never trusted. Every row gives one row, repeated rows too; other columns are ignored.
     Very long texts are handled alone, in memory of some twenty times their length. Three passes over the texts (one
-    of them over the trusted), all but the last reduced to one row a bucket; nothing but the trusted is ever shuffled.
+    of them over the trusted), all but the last reduced to one row a bucket; no text is shuffled up to the bound in log_ratios.
     """
     kind = dict(docs.dtypes)[id_col]
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, trusted, id_col, text_col).astype(np.float32))
