@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tracequarry.functions import text as T
@@ -194,63 +196,78 @@ def notebook_code(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- code graphs
-#: Modules as rows: every tenth document's source names a package; each calls and imports what the arithmetic says.
-CORPUS = (
-    ("a.py", "import b\nimport pkg.c as pc\ndef f():\n    g()\n    b.h()\n    self.k()\n    pc.run()\ndef g():\n    '''Args: none'''\n    return x.y.z()\n"),
-    ("b.py", "from a import g as gg, g\nclass Base:\n    def k(self):\n        return g()\nclass B(Base):\n    '''doc'''\n    def h(self, n: int) -> List[str]:\n        if n:\n            for i in n:\n                k()\n        B.h()\ndef h():\n    gg()\n    Base.k()\n"),
-    ("pkg/c.py", "import b as bee\nfrom b import B\ndef run():\n    bee.h()\n    pkg.c.run()\n    def inner():\n        run()\n    while True:\n        inner()\nclass D(b.Base):\n    def m(self):\n        k()\n"),
-    ("pkg/main.py", "import a\nimport pkg.c\nfrom pkg.c import run\nrun()\ndef main():\n    run()\n    a.f()\n    other.a.f()\n"),
-    ("pkg/bad.py", "def broken(:\n"),
-    ("notes.txt", "not code"),
+#: Every document as a module: its text as a comment, two imports, two functions, a class of two methods. g of module i
+#: calls the next module by an alias and the module of half its number by name.
+_CODE = (
+    "import corp.m{n} as nxt\nfrom corp.m{h} import g{h}\n# {text}\ndef f():\n    return g{i}()\ndef g{i}(x: Dict[str, int]):\n    \"\"\"Doc {i}.\"\"\"\n    nxt.f()\n    g{h}()\n"
+    "class C{i}(B{h}):\n    def k(self, a):\n        f()\n        C{h}.j()\n    def j(self):\n        pass\n"
 )
 
 
-def _corpus(spark):
-    return C.parse(spark.createDataFrame(list(CORPUS), "path string, content string"))
-
-
-#: What the corpus holds, read off by hand.
-_EDGES = [("a.f", "a.g"), ("a.f", "b.h"), ("a.f", "pkg.c.run"), ("b.Base.k", "a.g"), ("b.B.h", "b.Base.k"), ("b.B.h", "b.B.h"), ("b.h", "b.Base.k"), ("pkg.c.run", "b.h"), ("pkg.c.run", "pkg.c.run"), ("pkg.c.run", "pkg.c.inner"), ("pkg.c.inner", "pkg.c.run"), ("pkg.c.D.m", "b.Base.k"), ("pkg.main.main", "pkg.c.run"), ("pkg.main.main", "a.f")]
-_MODULE_EDGES = [("a", "b"), ("a", "pkg.c"), ("b", "a"), ("pkg.c", "b"), ("pkg.main", "a"), ("pkg.main", "pkg.c")]
+def _corpus(spark, sf_dir):
+    """The parsed modules; a null text is empty, and what is not plain ASCII in a text is blank, so a text is one comment."""
+    i = F.col("doc_id")
+    values = {"i": i.cast("string"), "n": (i + 1).cast("string"), "h": F.floor(i / 2).cast("string"), "text": F.coalesce(F.regexp_replace("text", r"[^\x20-\x7e]", " "), F.lit(""))}
+    code = F.concat(*(values.get(part, F.lit(part)) for part in re.split(r"\{(\w+)\}", _CODE)))
+    return C.parse(table(spark, sf_dir, "documents").select(F.concat(F.lit("corp/m"), "doc_id", F.lit(".py")).alias("path"), code.alias("content")))
 
 
-def _values(rows, names) -> str:
-    return f"(VALUES {', '.join(str(tuple(r)) for r in rows)}) AS t({names})"
+#: The modules' numbers: i, the next one (n) and half of it (h), null where there is no such module.
+_MODULES_SQL = "d AS MATERIALIZED (SELECT DISTINCT doc_id AS i FROM documents), m AS MATERIALIZED (SELECT d.i, x.i AS n, y.i AS h FROM d LEFT JOIN d x ON x.i = d.i + 1 LEFT JOIN d y ON y.i = d.i // 2)"
+_EDGES_SQL = (
+    _MODULES_SQL + ", e AS (SELECT 'corp.m' || i || '.f' AS src, 'corp.m' || i || '.g' || i AS dst FROM m UNION SELECT 'corp.m' || i || '.g' || i, 'corp.m' || n || '.f' FROM m WHERE n IS NOT NULL"
+    " UNION SELECT 'corp.m' || i || '.g' || i, 'corp.m' || h || '.g' || h FROM m WHERE h IS NOT NULL UNION SELECT 'corp.m' || i || '.C' || i || '.k', 'corp.m' || i || '.f' FROM m"
+    " UNION SELECT 'corp.m' || i || '.C' || i || '.k', 'corp.m' || h || '.C' || h || '.j' FROM m WHERE h IS NOT NULL)"
+)
 
 
-def _parts(spark):
-    parsed = _corpus(spark)
+def _parts(spark, sf_dir):
+    parsed = materialise(_corpus(spark, sf_dir), "parsed")
     get = lambda r: C.records(parsed, r)
     return get("call"), get("function"), get("class"), get("import"), get("module")
 
 
-@query("SELECT src, dst FROM " + _values(_EDGES, "src, dst"))
+@query(f"WITH {_EDGES_SQL} SELECT src, dst FROM e")
 def call_edges(spark, sf_dir):
-    calls, functions, classes, imports, _ = _parts(spark)
+    calls, functions, classes, imports, _ = _parts(spark, sf_dir)
     return C.call_edges(C.resolve_calls(calls, functions, classes, imports))
 
 
-@query("SELECT src, dst FROM " + _values(_MODULE_EDGES, "src, dst"))
+@query(f"WITH {_MODULES_SQL} SELECT 'corp.m' || i AS src, 'corp.m' || n AS dst FROM m WHERE n IS NOT NULL UNION SELECT 'corp.m' || i, 'corp.m' || h FROM m WHERE h <> i")
 def import_edges(spark, sf_dir):
-    *_, imports, modules = _parts(spark)
+    *_, imports, modules = _parts(spark, sf_dir)
     return C.import_edges(imports, modules)
 
 
-@query("SELECT 'b.B' AS src, 'b.Base' AS dst UNION ALL SELECT 'pkg.c.D', 'b.Base'")
+@query(f"WITH {_MODULES_SQL} SELECT 'corp.m' || i || '.C' || i AS src, 'corp.m' || h || '.C' || h AS dst FROM m WHERE h <> i")
 def class_call_edges(spark, sf_dir):
-    calls, functions, classes, imports, _ = _parts(spark)
+    calls, functions, classes, imports, _ = _parts(spark, sf_dir)
     return C.class_edges(C.resolve_calls(calls, functions, classes, imports), functions)
 
 
-@query("WITH e AS (SELECT * FROM " + _values(_EDGES, "src, dst") + ") SELECT src AS entity, 'calls' AS direction, dst AS other FROM e UNION ALL SELECT dst, 'called by', src FROM e")
+@query(f"WITH {_EDGES_SQL} SELECT src AS entity, 'calls' AS direction, dst AS other FROM e UNION ALL SELECT dst, 'called by', src FROM e")
 def entity_references(spark, sf_dir):
-    calls, functions, classes, imports, _ = _parts(spark)
+    calls, functions, classes, imports, _ = _parts(spark, sf_dir)
     return C.neighbours(C.call_edges(C.resolve_calls(calls, functions, classes, imports)))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id AS i, doc_id // 2 AS h, 'corp.m' || doc_id AS m FROM documents), r AS (
+SELECT 'module' AS record, m, m AS id, NULL AS name, NULL AS class_id, NULL AS kind, '' AS docstring, NULL AS bases, NULL AS parameters, 1 AS first_line, 16 AS last_line FROM d
+UNION ALL SELECT 'import', m, m, 'corp.m' || (i + 1), NULL, 'import', NULL, NULL, NULL, NULL, NULL FROM d
+UNION ALL SELECT 'import', m, m, 'g' || h, NULL, 'importfrom', NULL, NULL, NULL, NULL, NULL FROM d
+UNION ALL SELECT 'function', m, m || '.f', 'f', NULL, NULL, '', NULL, '', 4, 5 FROM d
+UNION ALL SELECT 'function', m, m || '.g' || i, 'g' || i, NULL, NULL, 'Doc ' || i || '.', NULL, 'x', 6, 9 FROM d
+UNION ALL SELECT 'class', m, m || '.C' || i, 'C' || i, NULL, NULL, '', 'B' || h, NULL, 10, 15 FROM d
+UNION ALL SELECT 'function', m, m || '.C' || i || '.k', 'k', m || '.C' || i, NULL, '', NULL, 'self,a', 11, 13 FROM d
+UNION ALL SELECT 'function', m, m || '.C' || i || '.j', 'j', m || '.C' || i, NULL, '', NULL, 'self', 14, 15 FROM d
+UNION ALL SELECT 'call', m, m || '.f', 'g' || i, NULL, 'simple', NULL, NULL, NULL, NULL, NULL FROM d
+UNION ALL SELECT 'call', m, m || '.g' || i, NULL, NULL, 'attribute', NULL, NULL, NULL, NULL, NULL FROM d
+UNION ALL SELECT 'call', m, m || '.g' || i, 'g' || h, NULL, 'simple', NULL, NULL, NULL, NULL, NULL FROM d
+UNION ALL SELECT 'call', m, m || '.C' || i || '.k', 'f', m || '.C' || i, 'simple', NULL, NULL, NULL, NULL, NULL FROM d
+UNION ALL SELECT 'call', m, m || '.C' || i || '.k', NULL, m || '.C' || i, 'attribute', NULL, NULL, NULL, NULL, NULL FROM d)
+SELECT record, m AS module_id, id, name, class_id, kind, docstring, bases, parameters, first_line, last_line FROM r""")
 def code_records(spark, sf_dir):
-    return _corpus(spark)
+    return _corpus(spark, sf_dir).select("record", "module_id", "id", "name", "class_id", "kind", "docstring", F.array_join("bases", ",").alias("bases"), F.array_join("parameters", ",").alias("parameters"), "first_line", "last_line")
 
 
 _IDS = "source || '.' || lang || CASE WHEN doc_id % 3 = 0 THEN '.m' || (doc_id % 5) ELSE '' END"
@@ -307,7 +324,7 @@ def package_rollup(spark, sf_dir):
 # ---------------------------------------------------------------- graphs
 #: Parts and suppliers of all line items; and the same folded to a graph of the size of a repository's modules.
 _GRAPH = "SELECT DISTINCT 'p' || l_partkey AS src, CASE WHEN l_suppkey % 3 = 0 THEN 's' || l_suppkey ELSE 'p' || l_suppkey END AS dst FROM lineitem WHERE l_suppkey % 3 = 0 OR l_partkey <> l_suppkey"
-_MODULES = "SELECT DISTINCT 'm' || (l_partkey % 60) AS src, CASE WHEN l_suppkey % 3 = 0 THEN 's' || (l_suppkey % 12) ELSE 'm' || (l_suppkey % 60) END AS dst FROM lineitem WHERE (l_suppkey % 3 = 0 OR l_partkey % 60 <> l_suppkey % 60) AND (l_partkey + l_suppkey) % 60 < 9"
+_MODULES = "SELECT DISTINCT 'm' || (l_partkey % 60) AS src, CASE WHEN l_suppkey % 5 = 0 THEN 's' || (l_partkey % 12) ELSE 'm' || ((l_partkey * 7 + l_suppkey % 5) % 60) END AS dst FROM lineitem"
 
 
 def _graph(spark, sf_dir, graph_sql=_GRAPH):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions import text as T
 from tracequarry.operators import codegraph as C, corpus, messages as M, retrieval, views as V
 from tracequarry.queries import _BEFORE, FLAT, LOG, flat, log, query, table
-from tracequarry.queries_code import _EDGES, _parts, _values
+from tracequarry.queries_code import _EDGES_SQL, _parts
 from tracequarry.sources import files
 
 
@@ -27,21 +27,18 @@ def entity_choice(spark, sf_dir):
     return V.find_entity(_docs(spark, sf_dir).select(F.concat_ws(".", "source", "lang").alias("id")).distinct(), "5.")
 
 
-def _functions_sql() -> str:
-    known = {"a.f": "", "a.g": "", "b.Base.k": "self", "b.B.h": "self, n", "b.h": "", "pkg.c.run": "", "pkg.c.inner": "", "pkg.c.D.m": "self", "pkg.main.main": ""}
-    return _values(sorted(known.items()), "id, parameters")
-
-
-@query("WITH e AS (SELECT * FROM " + _values(_EDGES, "src, dst") + "), f AS (SELECT * FROM " + _functions_sql() + ") SELECT id, parameters, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM e WHERE src = id), '') AS calls, coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM e WHERE dst = id), '') AS called_by FROM f")
+@query(f"""WITH {_EDGES_SQL}, f AS (SELECT 'corp.m' || i || '.f' AS id, '' AS parameters FROM d UNION ALL SELECT 'corp.m' || i || '.g' || i, 'x' FROM d UNION ALL SELECT 'corp.m' || i || '.C' || i || '.k', 'self, a' FROM d UNION ALL SELECT 'corp.m' || i || '.C' || i || '.j', 'self' FROM d),
+o AS (SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS calls FROM e GROUP BY src), b AS (SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS called_by FROM e GROUP BY dst)
+SELECT id, parameters, coalesce(calls, '') AS calls, coalesce(called_by, '') AS called_by FROM f LEFT JOIN o USING (id) LEFT JOIN b USING (id)""")
 def function_views(spark, sf_dir):
-    calls, functions, classes, imports, _ = _parts(spark)
+    calls, functions, classes, imports, _ = _parts(spark, sf_dir)
     seen = V.entity_view(functions, C.call_edges(C.resolve_calls(calls, functions, classes, imports)))
     return seen.select("id", "parameters", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by"))
 
 
-@query("SELECT * FROM (VALUES ('b.B', 'Base', 'h(self, n)'), ('b.Base', '', 'k(self)'), ('pkg.c.D', 'b.Base', 'm(self)')) AS t(id, bases, methods)")
+@query("SELECT 'corp.m' || doc_id || '.C' || doc_id AS id, 'B' || (doc_id // 2) AS bases, 'k(self, a); j(self)' AS methods FROM documents")
 def class_views(spark, sf_dir):
-    _, functions, classes, *_ = _parts(spark)
+    _, functions, classes, *_ = _parts(spark, sf_dir)
     return V.class_view(classes, functions)
 
 
