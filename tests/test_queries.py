@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tracequarry import queries, queries_code, queries_more, queries_views  # noqa: F401
+from tracequarry import queries, queries_code, queries_explore, queries_more, queries_views  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -204,12 +204,16 @@ _CODE = (
 )
 
 
-def _corpus(spark, sf_dir):
-    """The parsed modules; a null text is empty, and what is not plain ASCII in a text is blank, so a text is one comment."""
+def _sources(spark, sf_dir):
+    """The modules as files (path, content); a null text is empty, and what is not plain ASCII in a text is blank, so a text is one comment."""
     i = F.col("doc_id")
     values = {"i": i.cast("string"), "n": (i + 1).cast("string"), "h": F.floor(i / 2).cast("string"), "text": F.coalesce(F.regexp_replace("text", r"[^\x20-\x7e]", " "), F.lit(""))}
     code = F.concat(*(values.get(part, F.lit(part)) for part in re.split(r"\{(\w+)\}", _CODE)))
-    return C.parse(table(spark, sf_dir, "documents").select(F.concat(F.lit("corp/m"), "doc_id", F.lit(".py")).alias("path"), code.alias("content")))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("corp/m"), "doc_id", F.lit(".py")).alias("path"), code.alias("content"))
+
+
+def _corpus(spark, sf_dir):
+    return C.parse(_sources(spark, sf_dir))
 
 
 #: The modules' numbers: i, the next one (n) and half of it (h), null where there is no such module.

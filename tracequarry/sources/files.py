@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions.paths import ignored_in_repository, ignored_in_snapshot
+from tracequarry.plans.shared import attach
 
 TRACE_SCHEMA = "trace_id string, repository string, commit_id string, code_location struct<filepath: string, lineno: int, function: string>, error_context map<string, string>"
 #: {query} is the name that the files give to the canonical query.
@@ -13,31 +19,60 @@ MANIFEST_SCHEMA = "problem_domain struct<error_type: string, symptom: string, fa
 TODO_SCHEMA = "id string, content string, status string, priority string"
 
 
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address or an absolute path, and the path in it."""
+    address = re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "/", root.rstrip("/") or "/"))
+    return fs.FileSystem.from_uri(address)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative), size, mtime and full_path of every file below root, by one listing of names on the driver.
+
+    Spark's own scans pass over empty files and names with a leading "_", such as a package's __init__.py.
+    """
+    store, base = _store(root)
+    found = store.get_file_info(fs.FileSelector(base, recursive=True))
+    rows = [(f.path[len(base.rstrip("/")) + 1 :], f.size, f.mtime, f.path) for f in found if f.type == fs.FileType.File]
+    return attach(spark).createDataFrame(rows, "path string, size long, mtime timestamp, full_path string")
+
+
+def contents(files: DataFrame, root: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """path and content (bytes) of listed files, read by the executors; a task holds at most most_bytes and one file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = _store(root)
+        for pdf in batches:
+            paths, read, held = [], [], 0
+            for path, full in zip(pdf["path"], pdf["full_path"], strict=True):
+                with store.open_input_stream(full) as f:
+                    paths.append(path)
+                    read.append(f.read())
+                held += len(read[-1])
+                if held > most_bytes:
+                    yield pd.DataFrame({"path": paths, "content": read})
+                    paths, read, held = [], [], 0
+            yield pd.DataFrame({"path": paths, "content": read})
+
+    return files.select("path", "full_path").repartition("path").mapInPandas(run, "path string, content binary")
+
+
 def snapshot(spark: SparkSession, root: str, keep_ignored: bool = False) -> DataFrame:
     """path (relative), size and mtime of every file below root; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].split(":")[-1]
-    listed = found.select(F.substring_index("path", base + "/", -1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    listed = listing(spark, root).drop("full_path")
     return listed if keep_ignored else listed.where(~ignored_in_snapshot(F.col("path")))
 
 
 def repository(spark: SparkSession, root: str, max_depth: int = 3, per_dir: int = 40, max_bytes: int = 10 << 20, crowded: int = 100, full: int = 50, of_full: int = 5) -> DataFrame:
     """path and content of the text files of a repository, pruned: depth, ignored paths, size, files a folder.
 
-    A folder of over `crowded` files is left out, one of over `full` keeps the first few by name.
+    A folder of over `crowded` files is left out, one of over `full` keeps the first few by name. Only files that stay are read.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].split(":")[-1]
-    path = F.substring_index("path", base + "/", -1)
-    listed = found.select(path.alias("path"), "length", F.col("path").alias("full_path")).where((F.size(F.split("path", "/")) <= max_depth + 1) & ~ignored_in_repository(F.col("path")))
-    folder = F.regexp_replace("path", "[^/]*$", "")
+    listed = listing(spark, root).where((F.size(F.split("path", "/")) <= max_depth + 1) & ~ignored_in_repository(F.col("path")))
     by = Window.partitionBy("dir")
-    ranked = listed.withColumn("dir", folder).withColumns({"n": F.count(F.lit(1)).over(by), "r": F.row_number().over(by.orderBy("path"))})
+    ranked = listed.withColumn("dir", F.regexp_replace("path", "[^/]*$", "")).withColumns({"n": F.count(F.lit(1)).over(by), "r": F.row_number().over(by.orderBy("path"))})
     most = F.when(F.col("n") > crowded, 0).when(F.col("n") > full, of_full).otherwise(per_dir)
-    kept = ranked.where((F.col("r") <= most) & (F.col("length") <= max_bytes)).select("path", "full_path")
-    # Names go through the window, contents only of files that may stay, and those beside a bounded list of names are not moved.
-    contents = found.where((F.col("length") <= max_bytes) & (F.size(F.split(path, "/")) <= max_depth + 1) & ~ignored_in_repository(path)).select(F.col("path").alias("full_path"), "content")
-    return kept.join(contents, "full_path").select("path", decoded(F.col("content")).alias("content"))
+    kept = ranked.where((F.col("r") <= most) & (F.col("size") <= max_bytes))
+    return contents(kept, root).select("path", decoded(F.col("content")).alias("content"))
 
 
 def decoded(content: Column) -> Column:
@@ -136,3 +171,8 @@ def crawled(pages: DataFrame, id_col: str = "page_id", most: int = 20_000) -> Da
     text, ok = html_text(F.col("html")), F.col("error").isNull()
     hrefs = F.size(F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"'), F.lit(1)))
     return pages.select(id_col, "url", ok.alias("success"), "error", F.when(ok, F.length("html")).alias("html_chars"), F.when(ok, hrefs).alias("n_links"), F.when(ok, F.substring(text, 1, most)).alias("content"))
+
+
+def results(spark: SparkSession, folder: str) -> DataFrame:
+    """path of the files of a folder itself (none below it) that a run may leave for a reader."""
+    return listing(spark, folder).where(~F.col("path").contains("/") & F.col("path").rlike(r"\.(png|jpg|jpeg|csv|xlsx|json|txt|pdf|html)$")).select("path")
