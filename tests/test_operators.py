@@ -220,3 +220,8 @@ def test_stored_trees_and_vectors(spark, tmp_path):
     assert files.vectors(spark, f"{tmp_path}/v").count() == 1
     sinks.drop(spark, f"{tmp_path}/v")
     assert not (tmp_path / "v").exists()
+
+
+def test_canonical_query_trims_blanks_alone(spark):
+    c, none = F.lit, F.expr("cast(array() AS array<string>)")
+    assert one(spark, manifest.canonical_query(c(" E1 "), c("s2"), c("p3"), c("n4"), c("r5"), none, none)) == "fix E1 s2 p3 n4 runtime r5"

@@ -117,7 +117,7 @@ def canonical_query(error: Column, symptom: Column, pattern: Column, node: Colum
     given = F.when(F.size(filled(libs)) > 0, filled(libs)).otherwise(filled(dependencies))
     named = F.when(F.size(given) > 0, F.concat(F.lit("libraries "), F.array_join(F.slice(given, 1, most_libraries), " ")))
     parts = F.array(F.lit("fix"), error, symptom, pattern, node, F.concat(F.lit("runtime "), F.coalesce(run, F.lit(""))), named)
-    words = F.filter(F.split(F.array_join(F.transform(filled(F.array_compact(parts)), F.trim), " "), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.array_join(F.transform(filled(F.array_compact(parts)), lambda x: F.trim(x)), " "), r"\s+"), lambda w: w != "")
     return F.array_join(F.slice(words, 1, most_tokens), " ")
 
 
