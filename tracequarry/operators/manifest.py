@@ -63,9 +63,11 @@ def string_list(c: Column) -> Column:
 
 def dedupe(values: Column) -> Column:
     """Trimmed values without blanks and without repeats; case does not count."""
-    trimmed = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")
-    lower = F.transform(trimmed, F.lower)
-    return F.filter(trimmed, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+    # A fold, so values are computed once: a lambda that names them would compute them for every element again.
+    pair = lambda x: F.struct(F.trim(x).alias("v"), F.lower(F.trim(x)).alias("k"))
+    none = F.expr("cast(array() AS array<struct<v: string, k: string>>)")
+    kept = F.aggregate(F.filter(F.transform(values, lambda x: pair(x)), lambda p: p["v"] != ""), none, lambda acc, p: F.when(F.exists(acc, lambda a: a["k"] == p["k"]), acc).otherwise(F.concat(acc, F.array(p))))
+    return F.transform(kept, lambda p: p["v"])
 
 
 def required_libraries(existing: Column, dependencies: Column, texts: Column, builtin: tuple[str, ...] = ()) -> Column:
