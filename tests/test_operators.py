@@ -71,6 +71,23 @@ def test_answers_as_in_sql(spark):
     assert want[0] == ("YES", "ótata why", "Yesótata why")
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_trace_runtime_is_whole(spark, kind, zone):
+    rows = [(1, "2024-01-01 00:00:00.000000"), (1, "2024-01-30 07:39:09.783000"), (2, "2024-03-09 12:00:00.000001"), (2, "2024-03-11 12:00:00.001"), (3, None), (4, "1969-12-31 23:59:59.999999"), (4, "1970-01-01 00:00:00.000999")]
+    rows += [(10 + k, t) for k in range(1000) for t in ("2024-01-01 00:00:00.001000", f"2024-02-01 00:00:{k % 60:02d}.{k:03d}000")]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        events = spark.createDataFrame(rows, "trace_id int, ts string").selectExpr("trace_id", f"cast(ts AS {kind}) AS ts", "'x' AS event_type")
+        got = {r.trace_id: r.runtime_ms for r in ranking.trace_labels(events).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    shift = 3_600_000 if kind == "timestamp" and zone != "UTC" else 0  # the clocks went forward between those two instants
+    assert got[1] == 29 * 86_400_000 + 27_549_783 and got[2] == 2 * 86_400_000 - shift and got[3] is None and got[4] == 1
+    assert all(got[10 + k] == 31 * 86_400_000 + (k % 60) * 1000 + k - 1 for k in range(1000))
+
+
 def test_manifest(spark):
     c = F.lit
     assert one(spark, manifest.runtime(c("Python 3.x"))) == "python-3.x" and one(spark, manifest.error_type(c(""))) == "UnknownError"
