@@ -22,11 +22,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tracequarry.llm._text import resident
+from tracequarry.llm._text import lean, resident, slices, text_buffer
 
 #: Bounds on what one worker keeps: states of the machine, pieces with their ids, joint encodings. About 250 MB in all;
 #: the scale of a codec makes them larger where a worker has more memory.
 MAX_STATES, MAX_PIECES, MAX_PAIRS = 100_000, 600_000, 400_000
+#: Text bytes encoded and returned at once; a longer text comes alone.
+PORTION_BYTES = 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -310,12 +312,15 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(vocabulary, pattern, scale)
         for batch in batches:
-            with no_collection():
-                ids = [made.encode(t) if (t := x.as_py()) else b"" for x in batch.column(width)]
-            back = [hashlib.sha256(made.decode(i).encode()).hexdigest() for i in ids]
-            cols = [*batch.columns[:width], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array(back, pa.string())]
-            if keep_ids:
-                cols.append(pa.array(ids, pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, names=[id_col, *others, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
-
-    return docs.select(id_col, *others, docs[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
+            offsets, _ = text_buffer(batch.column(width))
+            for lo, hi in slices(offsets, PORTION_BYTES):
+                part = batch.slice(lo, hi - lo)
+                with no_collection():
+                    ids = [made.encode(t) if (t := x.as_py()) else b"" for x in part.column(width)]
+                back = [hashlib.sha256(made.decode(i).encode()).hexdigest() for i in ids]
+                cols = [*part.columns[:width], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array(back, pa.string())]
+                if keep_ids:
+                    cols.append(pa.array(ids, pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=[id_col, *others, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
+
+    return docs.select(id_col, *others, docs[text_col].cast("string").alias("__text")).mapInArrow(lean(run, tables=True), schema)
