@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.llm import byte_bpe, cube_mix, lang_unigram, ngram_join, secret_scan
+from tracequarry.llm._text import trim
 from tracequarry.llm.queries import PIECES, remainder, vocabulary
 from tracequarry.plans.shared import attach, made, materialise, release
 
@@ -30,6 +31,7 @@ def tidy(stage: Stage) -> Stage:
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(_before)
+        trim()
         known = made()
         out = stage(spark, docs, sf_dir)
         _before[:] = [x for x in made() if x not in known]

@@ -1,5 +1,6 @@
 """Workers give memory back while a task runs, not only at its end."""
 
+import numpy as np
 import pyarrow as pa
 
 from tracequarry.llm import _text, byte_bpe
@@ -14,6 +15,26 @@ def test_lean_gives_back_after_each_batch(monkeypatch):
     assert seen == [0, 1, 2] and len(given) == 4
 
 
+def test_powers_grow_with_the_text(monkeypatch):
+    monkeypatch.setattr(_text, "_powers", np.ones(1, np.uint64))
+    monkeypatch.setattr(_text, "_inverses", np.ones(1, np.uint64))
+    data = np.arange(1000, dtype=np.uint8)
+    one = _text.Prefix(data).of(np.array([3]), np.array([9]))
+    assert len(_text._powers) < 1 << 12
+    _text.Prefix(np.zeros(5000, np.uint8))
+    assert len(_text._powers) > 5000 and (_text.Prefix(data).of(np.array([3]), np.array([9])) == one).all()
+
+
+def test_tables_have_no_mark_of_success(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from tracequarry.plans.shared import materialise
+
+    df = materialise(spark.range(10), "t")
+    assert df.count() == 10 and not (Path(urlparse(df.inputFiles()[0]).path).parent / "_SUCCESS").exists()
+
+
 def test_encoding_returns_portions(spark, monkeypatch):
     texts = ["", None, "a b " * 300, "x" * 5000, "é", "", "word " * 40] * 3
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)

@@ -44,7 +44,7 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 def _grow(n: int) -> None:
     global _powers, _inverses
     if len(_powers) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
+        size = max(n + 1, min(2 * len(_powers), SLICE_BYTES + 1))
         base, inverse = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
         base[0] = inverse[0] = 1
         _powers, _inverses = np.cumprod(base), np.cumprod(inverse)
@@ -177,6 +177,7 @@ def resident(key: tuple, make: Callable[[], Any]) -> Any:
     if key not in _resident:
         drop_resident()
         _resident[key] = make()
+        trim()
     return _resident[key]
 
 

@@ -29,6 +29,7 @@ SMOOTHING = 0.02  # share of each language's mass that follows all languages and
 LONGEST = 32  # bytes; longer words are scored one at a time, and cut for the fit
 LIFT = 3.0  # log of the factor a byte that keeps products of many small numbers in range
 KNOWN_WORDS = 400_000  # words whose scores a worker keeps
+SCORED_BYTES = 1 << 19  # of text scored at once; a longer text comes alone
 UNKNOWN = "und"
 
 
@@ -266,7 +267,7 @@ class Scorer:
                 self.known, self.values = hashes[:KNOWN_WORDS], values[:KNOWN_WORDS]
             else:
                 both = np.concatenate((self.known, hashes[new]))
-                order = np.argsort(both)
+                order = np.argsort(both, kind="stable")  # two sorted runs
                 self.known, self.values = both[order], np.concatenate((self.values, values[new]))[order]
         return values, row
 
@@ -284,11 +285,11 @@ def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, r
     """lang, w and count: all words of a bounded sample of labelled documents, stored."""
     spark = docs.sparkSession
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = lowest_hash(labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")), "id", "lang", rows).toPandas()
-    if not len(ids):
+    ids = lowest_hash(labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")), "id", "lang", rows).select("lang", "id").toArrow()
+    if not ids.num_rows:
         return spark.createDataFrame([], "lang string, w string, count long")
-    # At most `rows` ids a language: a bounded side.
-    chosen = F.broadcast(spark.createDataFrame(ids, f"of_lang string, of_id {dict(docs.dtypes)[id_col]}"))
+    # At most `rows` ids a language: a bounded side. Arrow, as rows would start plain Python workers beside the others.
+    chosen = F.broadcast(spark.createDataFrame(ids.rename_columns(["of_lang", "of_id"]), f"of_lang string, of_id {dict(docs.dtypes)[id_col]}"))
     text = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(chosen, (F.col("lang") == F.col("of_lang")) & F.col("id").eqNullSafe(F.col("of_id")), "left_semi")
     return materialise(text.select("lang", F.explode(F.split("t", r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").groupBy("lang", "w").count(), "language_words")
 
@@ -312,7 +313,7 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str, id_col: str
         scorer = resident(("lang", fitted), lambda: Scorer(Vocabulary(vocabulary), p.astype(float)))
         for batch in batches:
             offsets, data = text_buffer(batch.column(width))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SCORED_BYTES):
                 at, raw = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
                 letter = np.add.reduceat(np.append(LETTERS[raw], False), at[:-1], dtype=np.int64) > 0
                 letter &= at[1:] > at[:-1]

@@ -44,7 +44,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracequarry-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    # Nobody looks for the mark of success. On local folders each file that the driver creates costs processes started from its JVM.
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
